@@ -4,12 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from litweave.llm import components as _components
 from litweave.llm import mix as _mix
 from litweave.llm import split as _split
+from litweave.llm import survive as _survive
 from litweave.llm import tokens as _tokens
 from litweave.session import table
 
 
+def p4_found(spark, d):
+    return _components.record_groups(table(spark, d, "source_records"), table(spark, d, "link_edges"), table(spark, d, "final_corpus"))
+
+
+def _membership(spark, d):
+    return _survive.catalogue_membership(table(spark, d, "catalogue_rows"))
+
+
+def p6_found(spark, d):
+    found = _survive.survivors(table(spark, d, "source_records"), _membership(spark, d))
+    return found.select(F.expr("try_cast(substr(corpus_id, 2) AS bigint)").alias("cid"), "field", "idx")
+
+
+def p6_records(spark, d):
+    return _survive.surviving_records(table(spark, d, "source_records"), _membership(spark, d))
+
+
 def p8_ids(spark, d):
     return _tokens.encode(table(spark, d, "documents"))
 
@@ -34,5 +53,30 @@ def p10_pieces(spark, d):
     return _split.split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_records, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
+STAND_INS = ", ".join("'" + s.replace("'", "''") + "'" for s in _survive.STAND_INS)
+
+ORACLE: dict[str, str] = {
+    "p6_found": rf"""
+WITH m AS (SELECT DISTINCT corpus_id, CAST(substr(source_record_id, 2) AS BIGINT) AS idx FROM catalogue_rows),
+s AS (SELECT DISTINCT idx, doi, abstract, keywords, venue, exported_at, source_db FROM source_records),
+g AS (SELECT * FROM m JOIN s USING (idx) WHERE corpus_id IN (SELECT corpus_id FROM m GROUP BY 1 HAVING count(DISTINCT idx) > 1)),
+v AS (
+  SELECT corpus_id, idx, exported_at, 'doi' AS field, CASE WHEN regexp_matches(doi, '(?i)10\.[0-9]{{4,9}}(/|%2F)[^\s/]+') THEN 1 END AS full_ FROM g
+  UNION ALL
+  SELECT corpus_id, idx, exported_at, 'abstract', CASE WHEN lower(trim(abstract, ' []().')) NOT IN ('', {STAND_INS}) THEN length(abstract) END FROM g
+  UNION ALL
+  SELECT corpus_id, idx, exported_at, 'venue', CASE WHEN lower(trim(venue, ' []().')) NOT IN ('', {STAND_INS}) THEN length(venue) END FROM g
+  UNION ALL
+  SELECT corpus_id, idx, exported_at, 'keywords', nullif(len(list_distinct([lower(trim(k)) FOR k IN keywords IF lower(trim(k, ' []().')) NOT IN ('', {STAND_INS})])), 0) FROM g)
+SELECT CAST(substr(corpus_id, 2) AS BIGINT) AS cid, field, idx FROM v WHERE full_ IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY corpus_id, field ORDER BY full_ DESC, exported_at DESC NULLS LAST, idx) = 1""",
+    "p4_found": """
+WITH RECURSIVE k AS (SELECT DISTINCT idx FROM source_records),
+e AS (
+  SELECT src_idx AS u, dst_idx AS v FROM link_edges WHERE src_idx IN (SELECT idx FROM k) AND dst_idx IN (SELECT idx FROM k)
+  UNION SELECT list_min(merged_idxs), unnest(merged_idxs) FROM final_corpus),
+b AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
+r AS (SELECT DISTINCT u AS idx, u AS other FROM b UNION SELECT r.idx, b.v FROM r JOIN b ON r.other = b.u)
+SELECT idx, min(other) AS group_idx FROM r GROUP BY idx""",
+}
