@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litweave.llm import components as _components
+from litweave.llm import lookalike as _lookalike
 from litweave.llm import mix as _mix
 from litweave.llm import split as _split
 from litweave.llm import survive as _survive
@@ -29,6 +30,14 @@ def p6_records(spark, d):
     return _survive.surviving_records(table(spark, d, "source_records"), _membership(spark, d))
 
 
+def p7_found(spark, d):
+    return _lookalike.found(table(spark, d, "final_corpus"))
+
+
+def p7_texts(spark, d):
+    return _lookalike.normalized(table(spark, d, "final_corpus"))
+
+
 def p8_ids(spark, d):
     return _tokens.encode(table(spark, d, "documents"))
 
@@ -53,7 +62,7 @@ def p10_pieces(spark, d):
     return _split.split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_records, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_records, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
 STAND_INS = ", ".join("'" + s.replace("'", "''") + "'" for s in _survive.STAND_INS)
 
 ORACLE: dict[str, str] = {
