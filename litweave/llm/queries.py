@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from litweave.llm import components as _components
 from litweave.llm import lookalike as _lookalike
+from litweave.llm import markup as _markup
 from litweave.llm import mix as _mix
 from litweave.llm import split as _split
 from litweave.llm import survive as _survive
@@ -13,6 +14,19 @@ from litweave.llm import tokens as _tokens
 from litweave.session import table
 
 
+def p2_found(spark, d):
+    return _markup.found(table(spark, d, "final_corpus"))
+
+
+def p2_texts(spark, d):
+    return _markup.cleaned(table(spark, d, "final_corpus")).select("cid", "field", "text", "kinds")
+
+
+def p2_blocks(spark, d):
+    texts = _markup.cleaned(table(spark, d, "final_corpus"))
+    return texts.select("cid", "field", F.posexplode("blocks").alias("pos", "b")).select("cid", "field", "pos", "b.kind", "b.level", "b.text", "b.label")
+
+
 def p4_found(spark, d):
     return _components.record_groups(table(spark, d, "source_records"), table(spark, d, "link_edges"), table(spark, d, "final_corpus"))
 
@@ -62,7 +76,7 @@ def p10_pieces(spark, d):
     return _split.split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p6_found, p6_records, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_blocks, p4_found, p6_found, p6_records, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
 STAND_INS = ", ".join("'" + s.replace("'", "''") + "'" for s in _survive.STAND_INS)
 
 ORACLE: dict[str, str] = {
