@@ -8,6 +8,7 @@ from litweave.llm import components as _components
 from litweave.llm import lookalike as _lookalike
 from litweave.llm import markup as _markup
 from litweave.llm import mix as _mix
+from litweave.llm import neardup as _neardup
 from litweave.llm import split as _split
 from litweave.llm import survive as _survive
 from litweave.llm import tokens as _tokens
@@ -27,6 +28,17 @@ def p2_blocks(spark, d):
     return texts.select("cid", "field", F.posexplode("blocks").alias("pos", "b")).select("cid", "field", "pos", "b.kind", "b.level", "b.text", "b.label")
 
 
+def p3_found(spark, d):
+    return _neardup.similar_pairs(table(spark, d, "final_corpus"))
+
+
+def p3_classes(spark, d):
+    """One row per record with a long enough abstract: its class, and how many other classes that is linked with."""
+    members, links = _neardup.similar_classes(table(spark, d, "final_corpus"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "rep", "left").select(F.col("id").alias("cid"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p4_found(spark, d):
     return _components.record_groups(table(spark, d, "source_records"), table(spark, d, "link_edges"), table(spark, d, "final_corpus"))
 
@@ -76,7 +88,7 @@ def p10_pieces(spark, d):
     return _split.split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_blocks, p4_found, p6_found, p6_records, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_blocks, p3_found, p3_classes, p4_found, p6_found, p6_records, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
 STAND_INS = ", ".join("'" + s.replace("'", "''") + "'" for s in _survive.STAND_INS)
 
 ORACLE: dict[str, str] = {
