@@ -8,6 +8,7 @@ from litweave.llm import components as _components
 from litweave.llm import lookalike as _lookalike
 from litweave.llm import markup as _markup
 from litweave.llm import mix as _mix
+from litweave.llm import names as _names
 from litweave.llm import neardup as _neardup
 from litweave.llm import split as _split
 from litweave.llm import survive as _survive
@@ -43,6 +44,14 @@ def p4_found(spark, d):
     return _components.record_groups(table(spark, d, "source_records"), table(spark, d, "link_edges"), table(spark, d, "final_corpus"))
 
 
+def p5_mentions(spark, d):
+    return _names.mentions(table(spark, d, "final_corpus"), table(spark, d, "author_register"))
+
+
+def p5_found(spark, d):
+    return p5_mentions(spark, d).where("name <> full_name").select("cid", "pos", "author_id")
+
+
 def _membership(spark, d):
     return _survive.catalogue_membership(table(spark, d, "catalogue_rows"))
 
@@ -88,7 +97,7 @@ def p10_pieces(spark, d):
     return _split.split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_blocks, p3_found, p3_classes, p4_found, p6_found, p6_records, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_blocks, p3_found, p3_classes, p4_found, p5_found, p5_mentions, p6_found, p6_records, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
 STAND_INS = ", ".join("'" + s.replace("'", "''") + "'" for s in _survive.STAND_INS)
 
 ORACLE: dict[str, str] = {
