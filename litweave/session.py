@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from contextlib import contextmanager
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,13 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and cut its lineage with a reliable checkpoint.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, set as the context's checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (local tests) is a
-    folder of our own used; a machine-local folder is refused when executors run on other machines.
+    Only where that is unset (local tests) is a folder of our own used; a machine-local folder is refused when
+    executors run on other machines.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -47,21 +46,38 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = os.path.join(tempfile.gettempdir(), f"litweave-checkpoints-{os.getuid()}")
         sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` and cut its lineage with a reliable checkpoint."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def settings(spark: SparkSession, **conf: str):
-    """Runtime settings for a while; dots in their names are written as two underscores."""
-    names = {k.replace("__", "."): v for k, v in conf.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+class Stored:
+    """Tables written to the shared folder and read back, for loops of many turns.
+
+    A checkpoint hands on the partitioning of the plan before; where a turn joins several times, what is known of it
+    multiplies with every turn. A written table starts afresh. ``turn`` drops the tables of the turn before last.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.ages = spark, [[], [], []]
+        self.folder = f"{_shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.ages[0].append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def turn(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.ages.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        self.ages.insert(0, [])
 
 
 def partitions(spark: SparkSession) -> int:
