@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litweave.llm import components as _components
+from litweave.llm import linkage as _linkage
 from litweave.llm import lookalike as _lookalike
 from litweave.llm import markup as _markup
 from litweave.llm import mix as _mix
@@ -16,6 +17,21 @@ from litweave.llm import tokens as _tokens
 from litweave.session import table
 
 
+def _descriptions(spark, d):
+    corpus = table(spark, d, "final_corpus").select(F.col("cid").alias("id"), "title", F.col("authors").alias("people"), "year", "doi", "venue", F.col("start_page").alias("pages"))
+    venue = F.coalesce(F.nullif(F.trim("booktitle"), F.lit("")), F.col("journal"))
+    bib = table(spark, d, "bib_entries").select(F.col("bibkey").alias("id"), "title", F.split("author", r"(?i)\s+and\s+").alias("people"), "year", "doi", venue.alias("venue"), "pages")
+    return corpus, bib
+
+
+def p1_matches(spark, d):
+    return _linkage.match(*_descriptions(spark, d)).select(F.col("c").alias("cid"), F.col("b").alias("bibkey"), F.round("confidence", 3).alias("confidence"))
+
+
+def p1_found(spark, d):
+    return _linkage.best(_linkage.match(*_descriptions(spark, d))).select(F.col("c").alias("cid"), F.col("b").alias("bibkey"))
+
+
 def p2_found(spark, d):
     return _markup.found(table(spark, d, "final_corpus"))
 
@@ -97,7 +113,7 @@ def p10_pieces(spark, d):
     return _split.split(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p2_blocks, p3_found, p3_classes, p4_found, p5_found, p5_mentions, p6_found, p6_records, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_texts, p2_blocks, p3_found, p3_classes, p4_found, p5_found, p5_mentions, p6_found, p6_records, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
 STAND_INS = ", ".join("'" + s.replace("'", "''") + "'" for s in _survive.STAND_INS)
 
 ORACLE: dict[str, str] = {
