@@ -45,7 +45,7 @@ def _kind(c: str) -> tuple[str, str]:
     tag = unicodedata.decomposition(c).partition(">")[0].lstrip("<") if "<" in unicodedata.decomposition(c) else ""
     if tag in ("wide", "narrow"):
         return "width", unicodedata.normalize("NFKC", c)
-    if tag == "font" or tag == "compat" and cat[0] == "L":
+    if tag == "font" or tag == "compat" and cat[0] == "L" and o != 0xB5:  # the micro sign is a symbol
         return "style", unicodedata.normalize("NFKC", c)
     return "", c
 
