@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from litweave.operators.order import ranked
+
 #: Which database is preferred.
 DB_RANK = {"ACM Digital Library": 0, "IEEE Xplore": 1, "Scopus": 2}
 SCALARS = ("type", "title", "year", "doi", "doi_raw", "venue", "volume", "issue", "start_page", "end_page", "publisher", "url", "issn", "isbn")
@@ -49,13 +50,9 @@ def canonical(records: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def number(corpus: DataFrame, by: str = "year") -> DataFrame:
-    """Adds cid: 1 and on in the order of year (a missing one first), ntitle, root. Numbered within each year, after the
-    rows of the years before, so no task sorts the whole corpus."""
-    key = F.coalesce(F.when(F.col(by) != "", F.col(by)), F.lit("0000"))
-    c = corpus.withColumn("__y", key)
-    sizes = c.groupBy("__y").agg(F.count("*").alias("n"))
-    before = sizes.select("__y", F.coalesce(F.sum("n").over(W.orderBy("__y").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row per year
-    return c.join(F.broadcast(before), "__y").withColumn("cid", F.col("__before") + F.row_number().over(W.partitionBy("__y").orderBy("ntitle", "root"))).drop("__y", "__before")
+    """Adds cid: 1 and on in the order of year (a missing one first), ntitle, root."""
+    c = corpus.withColumn("__y", F.coalesce(F.when(F.col(by) != "", F.col(by)), F.lit("0000")))
+    return ranked(c, "cid", "__y", "ntitle", "root").drop("__y")
 
 
 def disposition(records: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -79,7 +76,7 @@ def overlay(corpus: DataFrame, merges: DataFrame) -> DataFrame:
         F.max_by("keywords", F.struct(F.size("keywords").alias("n"), -F.col("absorbed"))).alias("__kw"), F.sum("n_in_cluster").alias("__n"), F.flatten(F.collect_list("found_in")).alias("__in"), F.flatten(F.collect_list("merged_idxs")).alias("__ids"),
         *(F.min_by(F.when(_some(c, kinds[c]), F.col(c)), F.when(_some(c, kinds[c]), F.col("absorbed"))).alias(f"__{c}") for c in fill),
     )
-    out = corpus.join(F.broadcast(pending.select(F.col("absorbed").alias("cid"))), "cid", "left_anti").join(F.broadcast(a), F.col("cid") == F.col("survivor"), "left")
+    out = corpus.join(pending.select(F.col("absorbed").alias("cid")), "cid", "left_anti").join(a, F.col("cid") == F.col("survivor"), "left")
     new = {c: F.when(_some(c, kinds[c]), F.col(c)).otherwise(F.coalesce(F.col(f"__{c}"), F.col(c))) for c in fill}
     empty = lambda c, k: F.coalesce(F.col(c), F.array().cast(k))
     new["keywords"] = F.when(F.coalesce(F.size("__kw"), F.lit(-1)) > F.coalesce(F.size("keywords"), F.lit(0)), F.col("__kw")).otherwise(F.col("keywords"))

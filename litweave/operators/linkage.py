@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litweave.functions import text as X
 from litweave.functions.udfs import seq_ratio
 from litweave.operators.graph import components
+from litweave.operators.order import ranked
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -102,9 +103,7 @@ def worksheet_pairs(corpus: DataFrame, most: int = 400) -> DataFrame:
 
 
 def number_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs in the order of band, then falling score, then ids, numbered P001 and on. The order is for a worksheet that
-    people read, so it is one sort over the few pairs left."""
-    from pyspark.sql import Window as W
-
+    """Pairs in the order of band, then falling score, then ids, numbered P001 and on."""
     order = F.array_position(F.array(*map(F.lit, ("ALMOST CERTAIN", "LIKELY", "UNCLEAR", "DISTINCT"))), F.col("band"))
-    return pairs.withColumn("pair", X.record_id("P", 3, F.row_number().over(W.orderBy(order, F.col("score").desc(), "a", "b"))))
+    p = ranked(pairs.withColumn("__o", order).withColumn("__s", -F.col("score")), "__n", "__o", "__s", "a", "b")
+    return p.withColumn("pair", X.record_id("P", 3, F.col("__n"))).drop("__o", "__s", "__n")

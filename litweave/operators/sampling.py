@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from litweave.operators.order import ranked, ranked_within
+
 
 def allocate(sizes: list[tuple[str, int]], fraction: float = 0.1) -> dict[str, int]:
     """Largest remainders: the target, rounded half to even, over strata in their order; leftovers to the biggest
@@ -62,20 +64,16 @@ def _by_hash(id_: str, seed: int) -> Column:
 
 def hash_sample(df: DataFrame, id_: str, stratum: str, quotas: DataFrame, seed: int) -> DataFrame:
     """Rows of each stratum up to its quota (stratum, quota), in the order of a hash of seed and id."""
-    w = W.partitionBy(stratum).orderBy(_by_hash(id_, seed), id_)
     q = quotas.select(F.col("stratum").alias(stratum), "quota")
-    return df.join(F.broadcast(q), stratum).withColumn("draw", F.row_number().over(w)).where("draw <= quota").drop("quota")
+    return ranked_within(df.withColumn("__h", _by_hash(id_, seed)), "draw", stratum, "__h", id_).join(q, stratum).where("draw <= quota").drop("quota", "__h")
 
 
 def hash_split(df: DataFrame, id_: str, stratum: str, k: int, seed: int, run_on: bool = False) -> DataFrame:
     """Adds part, 0..k-1: rows dealt in the order of a hash within their stratum; the dealer begins anew with each
-    stratum, or runs on from the strata before (a row per stratum counts those)."""
-    d = df.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(_by_hash(id_, seed), id_)) - 1)
-    if run_on:
-        n = df.groupBy(stratum).agg(F.count("*").alias("n"))
-        before = n.select(stratum, F.coalesce(F.sum("n").over(W.orderBy(stratum).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        d = d.join(F.broadcast(before), stratum).withColumn("turn", F.col("turn") + F.col("before")).drop("before")
-    return d.withColumn("part", F.pmod("turn", F.lit(k)).cast("int")).drop("turn")
+    stratum, or runs on from the strata before."""
+    d = df.withColumn("__h", _by_hash(id_, seed))
+    d = ranked(d, "turn", stratum, "__h", id_) if run_on else ranked_within(d, "turn", stratum, "__h", id_)
+    return d.withColumn("part", F.pmod(F.col("turn") - 1, F.lit(k)).cast("int")).drop("turn", "__h")
 
 
 def bars(df: DataFrame, n: str, width: int = 28) -> DataFrame:

@@ -130,7 +130,7 @@ CASE WHEN kind = 'format' THEN 'E1' WHEN kind IN ('no_access', 'unexplained') TH
 SELECT DISTINCT 'unknown id' AS problem, corpus_id FROM j WHERE cid IS NULL UNION SELECT 'wrong owner', corpus_id FROM j WHERE cid IS NOT NULL AND owner <> reviewer
 UNION SELECT 'conflict', corpus_id FROM v GROUP BY corpus_id HAVING count(DISTINCT decision) > 1 UNION SELECT 'exclude without reason', corpus_id FROM v WHERE decision = 'exclude' AND coalesce(reason, '') = ''""",
     "strat_allocation": f"WITH {_ALLOC} SELECT * FROM q",
-    "strat_sample": f"WITH {_ALLOC}, {_DEAL} SELECT d.year, d.cid, CAST(turn AS INT) AS draw FROM dealt d JOIN q ON q.stratum = d.year WHERE turn <= quota",
+    "strat_sample": f"WITH {_ALLOC}, {_DEAL} SELECT d.year, d.cid, turn AS draw FROM dealt d JOIN q ON q.stratum = d.year WHERE turn <= quota",
     "strat_split": f"WITH {_DEAL} SELECT cid, year, CAST((turn - 1) % 2 AS INT) AS part FROM dealt",
     "strat_split_run_on": f"WITH {_DEAL}, n AS (SELECT year, count(*) AS n FROM dealt GROUP BY 1), o AS (SELECT year, coalesce(sum(n) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT cid, year, CAST((turn - 1 + before) % 2 AS INT) AS part FROM dealt JOIN o USING (year)",
     "split_violations": """SELECT 'lost' AS "check", '' AS what WHERE false""",

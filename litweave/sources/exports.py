@@ -27,7 +27,7 @@ def read_exports(spark: SparkSession, ris_paths: list[str] = (), bib_paths: list
     if ris_paths:
         r = ris.project(ris.read_ris(spark, list(ris_paths)))
         name = F.lower(F.element_at(F.split("file", "/"), -1))
-        r = r.join(F.broadcast(dominant_db(r).withColumnRenamed("db", "own")), "file", "left")
+        r = r.join(dominant_db(r).withColumnRenamed("db", "own"), "file", "left")
         parts.append(r.withColumn("source_db", F.when(name.startswith(ris_name), ris_db).otherwise(F.coalesce("own", F.lit("unknown")))).drop("own").withColumn("part", F.lit(0)))
     if bib_paths:
         parts.append(bibtex.project(bibtex.read_bibtex(spark, list(bib_paths))).withColumn("source_db", F.lit(bib_db)).withColumn("part", F.lit(1)))
@@ -37,7 +37,7 @@ def read_exports(spark: SparkSession, ris_paths: list[str] = (), bib_paths: list
     files = all_.groupBy("part", "file").agg(F.count("*").alias("n"))
     offset = files.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part", "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "file", "before")  # a row per file
     within = F.row_number().over(W.partitionBy("part", "file").orderBy("rec"))
-    numbered = all_.join(F.broadcast(offset), ["part", "file"]).withColumn("idx", F.col("before") + within)
+    numbered = all_.join(offset, ["part", "file"]).withColumn("idx", F.col("before") + within)
     return numbered.withColumn("source_file", F.element_at(F.split("file", "/"), -1)).drop("part", "before", "file", "rec", "db")
 
 
