@@ -134,8 +134,9 @@ def candidate_pairs(sets: DataFrame, threshold: float, recall: float = 0.9999, m
 
     rows, leaves = sets.select("id", "s", *ks).mapInPandas(split, out), []
     for level in range(1, depth + 1):
+        rows = cut(rows)  # counted and joined: the Python step must not run twice
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rows = cut(rows.join(sizes, "bucket"))
+        rows = rows.join(sizes, "bucket")
         leaf = rows if level == depth else rows.where(F.col("n") <= most)
         leaves.append(leaf.drop("path"))
         big = rows.where(F.col("n") > most)
