@@ -70,14 +70,19 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((low & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
-def choices(s: np.ndarray, bucket: int, path: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The members a set chooses in a bucket, and the buckets they lead to."""
-    salt = mixed(np.array([bucket], np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    key = mixed(s ^ salt)
-    take = key < np.uint64(min(1.0, 1.0 / (threshold * len(s))) * (2.0**64 - 2**11))
-    if len(path):
-        take &= ~np.isin(s, path)
-    return s[take].view(np.int64), mixed(key[take] + np.uint64(1)).view(np.int64)
+def choices(s: np.ndarray, buckets: np.ndarray, paths: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a set chooses in each of its buckets: positions of the buckets, members chosen, buckets those lead to.
+    ``paths`` has the members chosen before, a row for each bucket; they aren't chosen again."""
+    least, out = np.uint64(min(1.0, 1.0 / (threshold * len(s))) * (2.0**64 - 2**11)), []
+    for at in range(0, len(buckets), 64):
+        salt = mixed(buckets[at : at + 64].view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        key = mixed(s[None, :] ^ salt[:, None])
+        take = key < least
+        for level in range(paths.shape[1]):
+            take &= s[None, :] != paths[at : at + 64, level, None]
+        i, j = np.nonzero(take)
+        out.append((i + at, s[j].view(np.int64), mixed(key[i, j] + np.uint64(1)).view(np.int64)))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 def repetitions(recall: float) -> int:
@@ -118,19 +123,24 @@ def candidate_pairs(sets: DataFrame, threshold: float, recall: float = 0.9999, m
 
     def split(frames):
         for pdf in frames:
-            cols: list[list] = [[], [], [], []]
-            for i, (r, s, inside) in enumerate(zip(pdf["id"].tolist(), pdf["s"].tolist(), pdf["inside"].tolist() if "inside" in pdf else [None] * len(pdf))):
+            at, buckets, paths = [], [], []
+            inner = pdf["inside"].tolist() if "inside" in pdf else [None] * len(pdf)
+            for k, (s, inside) in enumerate(zip(pdf["s"].tolist(), inner)):
                 s = np.asarray(s, np.int64).view(np.uint64)
                 if not len(s):
                     continue
-                for bucket, path in [(n, ()) for n in range(runs)] if inside is None else [(x["bucket"], x["path"]) for x in inside]:
-                    for m, child in zip(*choices(s, bucket, np.asarray(path, np.int64).view(np.uint64), threshold)):
-                        cols[0].append(r)
-                        cols[1].append(child)
-                        cols[2].append([*path, m])
-                        cols[3].append(i)
-            at = np.asarray(cols[3], np.int64)
-            yield pd.DataFrame({"id": cols[0], "bucket": np.asarray(cols[1], np.int64), "path": cols[2]} | {k: pdf[k].to_numpy()[at] for k in ks})
+                if inside is None:
+                    own, before = np.arange(runs, dtype=np.int64), np.empty((runs, 0), np.uint64)
+                else:
+                    own = np.array([x["bucket"] for x in inside], np.int64)
+                    before = np.array([x["path"] for x in inside], np.int64).view(np.uint64)
+                i, members, children = choices(s, own, before, threshold)
+                at.append(np.full(len(i), k))
+                buckets.append(children)
+                paths += np.column_stack([before[i].view(np.int64), members]).tolist()
+            at = np.concatenate(at) if at else np.empty(0, np.int64)
+            out = {"id": pdf["id"].to_numpy()[at], "bucket": np.concatenate(buckets) if buckets else np.empty(0, np.int64), "path": paths}
+            yield pd.DataFrame(out | {k: pdf[k].to_numpy()[at] for k in ks})
 
     rows, leaves = sets.select("id", "s", *ks).mapInPandas(split, out), []
     for level in range(1, depth + 1):
