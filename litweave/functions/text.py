@@ -68,6 +68,12 @@ def ascii_key(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]+", " "))
 
 
+def text_key(c: Column) -> Column:
+    """Lower-case letters (with their marks) and digits of any script in words; a text without a word is its own key."""
+    k = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", " "))
+    return F.when(k != "", F.concat(F.lit("w "), k)).otherwise(F.concat(F.lit("t "), c))
+
+
 def title_tokens(norm: Column) -> Column:
     """Distinct words of more than two letters that aren't stop words."""
     return F.array_distinct(F.filter(F.split(norm, " "), lambda w: (F.length(w) > 2) & ~w.isin(*STOP)))

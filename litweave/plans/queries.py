@@ -55,14 +55,27 @@ def norm_key_profile(spark, d):
     return t.select("doc_id", F.length("k").alias("n"), F.size(X.title_tokens(F.col("k"))).alias("n_tokens"), F.md5("k").alias("key"))
 
 
-@query
-def exact_dup_disposition(spark, d):
-    """Equal texts but for case and punctuation: which document stays, which go."""
-    t = table(spark, d, "documents").select("doc_id", "source", "n_chars", F.md5(X.ascii_key(F.coalesce("text", F.lit("")))).alias("k"))
+def _disposition(t):
     g = t.groupBy("k").agg(F.min_by("doc_id", F.struct((-F.coalesce("n_chars", F.lit(-1))).alias("n"), "doc_id")).alias("keeper"), F.count("*").alias("n_in_cluster"))
     return t.join(g, "k").select("doc_id", "source", "keeper", "n_in_cluster", F.when(F.col("doc_id") == F.col("keeper"), "retained").otherwise("duplicate-removed").alias("status"))
 
 
+@query
+def exact_dup_disposition(spark, d):
+    """Texts of equal ASCII letters and digits, as the SQL has it: which document stays, which go.
+
+    Texts without any (other scripts, NULL, empty) are one group here; ``text_dup_disposition`` compares whole texts.
+    """
+    return _disposition(table(spark, d, "documents").select("doc_id", "source", "n_chars", F.md5(X.ascii_key(F.coalesce("text", F.lit("")))).alias("k")))
+
+
+@query
+def text_dup_disposition(spark, d):
+    """Equal texts but for case and punctuation, in any script: which document stays, which go. A NULL text equals none."""
+    key = F.coalesce(F.md5(X.text_key(F.col("text"))), F.concat(F.lit("id "), F.col("doc_id").cast("string")))
+    return _disposition(table(spark, d, "documents").select("doc_id", "source", "n_chars", key.alias("k")))
+
+
 @query
 def dup_identification(spark, d):
     return counts.by_disposition(exact_dup_disposition(spark, d).withColumn("source", F.coalesce("source", F.lit("-"))), "source")
