@@ -9,6 +9,7 @@ from litweave.functions import text as X
 from litweave.functions.udfs import seq_ratio
 from litweave.operators.graph import components
 from litweave.operators.order import ranked
+from litweave.session import cut
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -50,18 +51,51 @@ def token_candidates(df: DataFrame, most: int = 400) -> DataFrame:
     return pairs.where("shared >= greatest(2, cast(floor(0.55D * rare) AS bigint))").select("a", "b", "shared", "rare")
 
 
-def fuzzy_pairs(df: DataFrame, most: int = 400) -> DataFrame:
+def whole_candidates(titles: DataFrame) -> DataFrame:
+    """(t, u) of distinct titles, u sharing at least two and 0.55 of all of t's tokens, where the two may be similar enough.
+
+    No token is too frequent: the rarest n - need + 1 of t's tokens meet all tokens of u, as one of them must be common. A pair is
+    kept at its rarest common token only; tokens with many pairs are dealt to several tasks.
+    """
+    each = titles.select("t", F.explode("tokens").alias("token"))
+    freq = each.groupBy("token").agg(F.count("*").alias("df"))
+    sets = each.join(freq, "token").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("df", F.xxhash64("token").alias("w")))).alias("s"))
+    sets = sets.select("t", F.col("s.w").alias("k")).join(titles.select("t", "last", F.length("ntitle").alias("l")), "t")
+    sets = cut(sets.withColumn("n", F.size("k")).withColumn("need", F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(0.55)).cast("int"))))
+    left = sets.where("n >= 2 AND l >= 15").select("t", "k", "l", "n", "need", F.explode(F.slice("k", F.lit(1), F.col("n") - F.col("need") + 1)).alias("w"))
+    right = sets.select(F.col("t").alias("u"), "last", F.col("k").alias("ku"), F.col("l").alias("lu"), F.col("n").alias("nu"), F.explode("k").alias("w"))
+    hot = left.groupBy("w").agg(F.count("*").alias("x")).join(right.groupBy("w").agg(F.count("*").alias("y")), "w")
+    hot = hot.select("w", F.ceil(F.col("x") * F.col("y") / 500_000).cast("int").alias("parts"))
+    left = left.join(hot, "w").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.join(hot, "w").withColumn("part", F.pmod(F.xxhash64("u"), "parts").cast("int")).drop("parts")
+    near = (F.least("l", "lu") * 2 >= (F.col("l") + F.col("lu")) * F.lit(0.9)) | (F.least("n", "nu") >= F.greatest("n", "nu") * F.lit(0.85))
+    both = F.array_intersect("k", "ku")
+    pairs = left.join(right, ["w", "part"]).where((F.col("t") != F.col("u")) & (F.col("t") < F.col("last")) & near)
+    return pairs.where((F.size(both) >= F.col("need")) & (F.element_at(both, 1) == F.col("w"))).select("t", "u")
+
+
+def fuzzy_pairs(df: DataFrame, most: int = 400, whole: bool = True) -> DataFrame:
     """(a, b, jac, ratio, guarded, linked) of the candidates whose titles are similar.
 
-    The token similarity comes first, and bounds the costly one by lengths: neither changes the result.
+    Candidates are those by rare tokens, the reference's rule, and unless ``whole`` is False those by all tokens, so that none is
+    lost as tokens grow frequent. The token similarity comes first, and bounds the costly one by lengths: neither changes the
+    result. Equal titles are compared once.
     """
-    side = lambda p: df.select(F.col("idx").alias(p), F.col("ntitle").alias(f"t{p}"), F.col("tokens").alias(f"k{p}"), F.col("surnames").alias(f"s{p}"), F.col("year").alias(f"y{p}"))
-    p = token_candidates(df, most).join(side("a"), "a").join(side("b"), "b")
+    titles = cut(df.groupBy("ntitle").agg(F.min("idx").alias("t"), F.max("idx").alias("last"), F.first("tokens").alias("tokens")))
+    of = cut(df.join(titles.select("ntitle", "t"), "ntitle").select("idx", "t", "surnames", "year"))
+    ids = lambda p, t: of.select(F.col("idx").alias(p), F.col("t").alias(t))
+    c = token_candidates(df, most).join(ids("a", "t"), "a").join(ids("b", "u"), "b").select("t", "u")
+    if whole:
+        c = c.union(whole_candidates(titles)).union(titles.where("last > t AND length(ntitle) >= 15 AND size(tokens) >= 2").select("t", F.col("t").alias("u")))
+    side = lambda t, p: titles.select(F.col("t").alias(t), F.col("ntitle").alias(f"t{p}"), F.col("tokens").alias(f"k{p}"))
+    p = c.distinct().join(side("t", "a"), "t").join(side("u", "b"), "u")
     both = F.size(F.array_intersect("ka", "kb"))
     p = p.withColumn("jac", both / (F.size("ka") + F.size("kb") - both))
     la, lb = F.length("ta"), F.length("tb")
     p = p.where((F.col("jac") >= 0.85) | (F.least(la, lb) * 2 >= (la + lb) * F.lit(0.9)))
     p = p.withColumn("ratio", seq_ratio("ta", "tb")).where("ratio >= 0.9D OR jac >= 0.85D")
+    side = lambda t, p: of.select(F.col("t").alias(t), F.col("idx").alias(p), F.col("surnames").alias(f"s{p}"), F.col("year").alias(f"y{p}"))
+    p = p.join(side("t", "a"), "t").join(side("u", "b"), "u").where("a < b")
     people = (F.size("sa") == 0) | (F.size("sb") == 0) | F.arrays_overlap("sa", "sb")
     ya, yb = F.col("ya").try_cast("int"), F.col("yb").try_cast("int")
     year = F.coalesce(F.abs(ya - yb) <= 1, F.lit(True))
@@ -70,11 +104,11 @@ def fuzzy_pairs(df: DataFrame, most: int = 400) -> DataFrame:
     return p.select("a", "b", "jac", "ratio", guarded.alias("guarded"), linked.alias("linked"))
 
 
-def link(records: DataFrame, most: int = 400) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link(records: DataFrame, most: int = 400, whole: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clusters (idx, root) of all records, the edges (a, b, method, score, note), and the flagged near misses (a, b,
-    ratio, jac): similar pairs that were not accepted and ended in different clusters."""
-    df = derive(records)
-    fuzzy = fuzzy_pairs(df, most)
+    ratio, jac): similar pairs that were not accepted and ended in different clusters. ``whole`` as in ``fuzzy_pairs``."""
+    df = cut(derive(records))
+    fuzzy = cut(fuzzy_pairs(df, most, whole))
     edges = doi_edges(df).union(title_edges(df)).union(fuzzy.where("linked").select("a", "b", F.lit("fuzzy"), F.col("ratio"), F.lit(None).cast("string")))
     found = components(edges)
     clusters = df.select("idx").join(found, F.col("idx") == F.col("id"), "left").select("idx", F.coalesce("root", "idx").alias("root"))
