@@ -114,23 +114,22 @@ def p10_pieces(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_texts, p2_blocks, p3_found, p3_classes, p4_found, p5_found, p5_mentions, p6_found, p6_records, p7_found, p7_texts, p8_ids, p9_found, p9_shares, p9_copies, p10_found, p10_pieces)}
-STAND_INS = ", ".join("'" + s.replace("'", "''") + "'" for s in _survive.STAND_INS)
-
 ORACLE: dict[str, str] = {
-    "p6_found": rf"""
+    "p6_found": r"""
 WITH m AS (SELECT DISTINCT corpus_id, CAST(substr(source_record_id, 2) AS BIGINT) AS idx FROM catalogue_rows),
-s AS (SELECT DISTINCT idx, doi, abstract, keywords, venue, exported_at, source_db FROM source_records),
+s AS (SELECT DISTINCT idx, doi, abstract, keywords, venue, exported_at FROM source_records),
 g AS (SELECT * FROM m JOIN s USING (idx) WHERE corpus_id IN (SELECT corpus_id FROM m GROUP BY 1 HAVING count(DISTINCT idx) > 1)),
+k AS (SELECT corpus_id, idx, exported_at, 'keywords' AS field, lower(trim(unnest(keywords))) AS x FROM g),
+x AS (
+  SELECT corpus_id, idx, exported_at, 'abstract' AS field, abstract AS x, length(abstract) AS full_ FROM g
+  UNION ALL SELECT corpus_id, idx, exported_at, 'venue', venue, length(venue) FROM g
+  UNION ALL SELECT corpus_id, idx, exported_at, 'doi', doi, 1 FROM g WHERE regexp_matches(doi, '(?i)10\.[0-9]{4,9}(/|%2F)[^\s/]+')
+  UNION ALL SELECT corpus_id, idx, exported_at, field, any_value(x), count(DISTINCT x) FROM k WHERE x NOT IN ('', 'n/a') GROUP BY ALL),
 v AS (
-  SELECT corpus_id, idx, exported_at, 'doi' AS field, CASE WHEN regexp_matches(doi, '(?i)10\.[0-9]{{4,9}}(/|%2F)[^\s/]+') THEN 1 END AS full_ FROM g
-  UNION ALL
-  SELECT corpus_id, idx, exported_at, 'abstract', CASE WHEN lower(trim(abstract, ' []().')) NOT IN ('', {STAND_INS}) THEN length(abstract) END FROM g
-  UNION ALL
-  SELECT corpus_id, idx, exported_at, 'venue', CASE WHEN lower(trim(venue, ' []().')) NOT IN ('', {STAND_INS}) THEN length(venue) END FROM g
-  UNION ALL
-  SELECT corpus_id, idx, exported_at, 'keywords', nullif(len(list_distinct([lower(trim(k)) FOR k IN keywords IF lower(trim(k, ' []().')) NOT IN ('', {STAND_INS})])), 0) FROM g)
-SELECT CAST(substr(corpus_id, 2) AS BIGINT) AS cid, field, idx FROM v WHERE full_ IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY corpus_id, field ORDER BY full_ DESC, exported_at DESC NULLS LAST, idx) = 1""",
+  SELECT * FROM x WHERE x IS NOT NULL AND regexp_matches(x, '[A-Za-z0-9]') AND (field = 'doi' OR length(x) > 200 OR
+    NOT regexp_matches(lower(x), '^\W*(n/a|none|unknown|no abstract|no title|not specified|abstract not)\b|\b(has no abstract|(is|could) not (be )?(available|loaded))\b')))
+SELECT CAST(substr(corpus_id, 2) AS BIGINT) AS cid, field, idx FROM v
+QUALIFY row_number() OVER (PARTITION BY corpus_id, field ORDER BY full_ DESC, exported_at DESC) = 1""",
     "p4_found": """
 WITH RECURSIVE k AS (SELECT DISTINCT idx FROM source_records),
 e AS (

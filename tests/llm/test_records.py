@@ -56,7 +56,7 @@ def test_survivors_against_brute_force(spark):
     for i in range(300):
         rows.append(
             (i, rng.choice(["Scopus", "IEEE Xplore", None]), dt.datetime(2026, 1, 1) + dt.timedelta(minutes=rng.choice([i, i, 5000 + i])), rng.choice([None, "", "n/a", "10.1234/x", "https://doi.org/10.1234%2Fy", "10.1234", "10./x"]),
-             rng.choice([None, " ", "[No abstract available]", "some text", "some longer text"]), rng.choice([None, [], ["N/A"], ["a", "A ", "b"], ["a", None]]), rng.choice(["Not specified", "V", "Venue name", None]))
+             rng.choice([None, " ", "[No abstract available]", f"some text {i}", f"some longer text {i}"]), rng.choice([None, [], ["N/A"], ["a", "A ", "b"], ["a", None]]), rng.choice(["Not specified", "V", "Venue name", None]))
         )
         members.append((f"C{i // 3}" if i % 50 else None, i))
     r = spark.createDataFrame(rows + rows[:20], "idx bigint, source_db string, exported_at timestamp, doi string, abstract string, keywords array<string>, venue string")
