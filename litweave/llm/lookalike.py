@@ -101,6 +101,9 @@ def normalize(text: str, names: bool = False) -> tuple[str, frozenset[str]]:
     lookalike. ``names``: single letters of another script are initials, not symbols."""
     if text.isascii() and (text.isprintable() or not any(_kind(c)[0] for c in text)):
         return text, frozenset()
+    chars = set(text)
+    if not any(_kind(c)[0] for c in chars) and all(c.isascii() or _script(c) in ("", "LATIN") for c in chars) and unicodedata.is_normalized("NFC", text):
+        return text, frozenset()
     kinds, out = set(), []
     for i, c in enumerate(text):
         kind, new = _kind(c)

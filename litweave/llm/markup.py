@@ -2,7 +2,8 @@
 
 A text is brought to blocks: headings, list items, code, formulas, paragraphs. Two passes of block rules follow. The
 first decides by length, stop-word density and link density; in the second, blocks too short to decide inherit the label
-of the nearest decided neighbours. Only link lists (``bad`` by link density) are left out of the clean text.
+of the nearest decided neighbours. Blocks that come out ``bad`` (menus, link lists, footers) are left out of the clean
+text. A text without any block of prose is no page around an article but a field of its own, and stays whole.
 """
 
 from __future__ import annotations
@@ -34,7 +35,10 @@ STOP = set(
     "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über so zum war haben nur oder aber vor zur bis mehr durch "
     "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son ou el los las y por con no una su para es al lo como o del e il di che per non si da".split()
 )
-LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_MOST = 70, 200, 0.30, 0.32, 0.2
+LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_MOST = 70, 200, 0.30, 0.32, 0.5
+BARS = re.compile(r" [|·»•] ")
+#: Names that Python gives a meaning, which aren't emphasis.
+DUNDER = set("init main name file call repr str len iter next enter exit getitem setitem del new all doc dict class eq hash add contains slots version".split())
 
 REFERENCE = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 FENCE = re.compile(r"^[ ]{0,3}(```+|~~~+)[^\n`]*\n(.*?)(?:\n[ ]{0,3}\1[ ]*$|\Z)", re.S | re.M)
@@ -44,6 +48,7 @@ MATH = re.compile(r"\\\((.+?)\\\)|(?<![\\$\w])\$(?=[^\s$])([^$\n]{0,300}?[^\s$\\
 MATHLIKE = re.compile(r"[\\^_{}=+<>|]|^[A-Za-zα-ωΑ-Ω]{1,2}'?$|^[A-Za-z]\s?[-/(,]\s?[A-Za-z0-9]|^-?\d*[.,]?\d+[A-Za-z%]?$|^[A-Za-z]\d$|^\d+\s*\\")
 COMMENT = re.compile(r"<!--.*?-->|<!\[CDATA\[(.*?)\]\]>|<![A-Za-z][^<>]*>|<\?\w[^<>]*?\?>", re.S)
 TAG = re.compile(r"<(/?)([A-Za-z][\w.-]*(?::[A-Za-z][\w.-]*)?)((?:\s+[^<>]*)?)(/?)>")
+ATTRIBUTES = re.compile(r"(?:\s+(?:[\w:.@-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+)|(?:async|checked|controls|defer|disabled|hidden|ismap|loop|multiple|muted|noshade|nowrap|open|readonly|required|reversed|selected)))*\s*/?")
 WIKI_HEAD = re.compile(r"^[ \t]*(={1,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t]*$", re.M)
 WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]+)\]\]")
 WIKI_URL = re.compile(r"\[((?:https?|ftp)://[^\s\]]+)(?:\s+([^\]\n]*))?\]")
@@ -141,6 +146,8 @@ class Cleaner:
             name = m[2].lower().rpartition(":")[2]
             if not (name in TAGS or ":" in m[2] or m[2].lower() in closed or "=" in m[3]):
                 return m[0]
+            if m[3].strip() and not m[1] and m[2].lower() not in closed and not ATTRIBUTES.fullmatch(m[3]):
+                return m[0]  # two comparisons, not an element
             if name == "a" or name in ("xref", "ext-link"):
                 return LINK_OFF if m[1] else LINK_ON
             if re.fullmatch(r"h[1-6]", name):
@@ -177,7 +184,7 @@ class Cleaner:
         self.sub("quotation", QUOTE, "")
         self.sub("list", LIST, f"{OPEN}L{CLOSE}")
         if "*" in self.s or "_" in self.s:
-            self.sub("emphasis", STRONG, lambda m: m[2] or m[4], True)
+            self.sub("emphasis", STRONG, lambda m: m[0] if (m[4] or "").lower() in DUNDER and m[3] == "__" else m[2] or m[4], True)
             self.sub("emphasis", EMPHASIS, lambda m: m[1] or m[2], True)
         if "~~" in self.s:
             self.sub("emphasis", STRIKE, "\\1", True)
@@ -231,7 +238,7 @@ class Cleaner:
             if not line.replace(LINK_ON, "").replace(LINK_OFF, "").strip():
                 fresh = True
                 continue
-            if kind == "paragraph" and re.match(r"\s{0,3}\d{1,3}[.)]\s+\S", line):
+            if kind == "paragraph" and NUMBERED.match(line):
                 kind = "item"  # a numbered clause keeps its number
             if kind == "paragraph" and not fresh and raw:
                 raw[-1][2] += " " + line.strip()
@@ -245,8 +252,7 @@ class Cleaner:
                 text = re.sub(rf"{OPEN}([CF])i(\d+){CLOSE}", lambda m: (f"`{self.kept[int(m[2])][1]}`" if m[1] == "C" else f"${self.kept[int(m[2])][1]}$"), text.replace(LINK_ON, "").replace(LINK_OFF, ""))
                 if re.fullmatch(rf"\$[^$]+\$", text):
                     kind = "formula"
-                text = re.sub(r"[ \t]+", " ", text).strip()
-                text = re.sub(r" (?=[,.;:!?](?:\s|$))", "", text)
+                text = _line(text)
             else:
                 linked = 0
             out.append(("list" if kind == "item" else kind, level, text, decide(kind, text, linked)))
@@ -254,10 +260,14 @@ class Cleaner:
 
 
 def decide(kind: str, text: str, linked: int) -> str:
-    """First pass: good, bad, neargood, or short where there is too little to tell."""
+    """First pass: good, neargood or bad, or short where the block by itself doesn't tell.
+
+    A block is bad if most of it are links or it is cut up by bars, and so is a line as long as a paragraph that has few stop words, is no
+    sentence and has no label (``Keywords: ...``). Lists and texts in a script without stop words here stay undecided.
+    """
     if kind in ("code", "formula"):
         return "good"
-    if linked > LINKS_MOST * len(text) and linked > 0.5 * len(text):
+    if linked > LINKS_MOST * len(text) or kind == "paragraph" and len(BARS.findall(text)) >= 3:
         return "bad"
     if kind == "heading" or len(text) < LENGTH_LOW:
         return "short"
@@ -265,25 +275,55 @@ def decide(kind: str, text: str, linked: int) -> str:
     density = sum(w in STOP for w in words) / max(1, len(words))
     if density >= STOP_HIGH:
         return "good" if len(text) > LENGTH_HIGH else "neargood"
-    return "neargood" if density >= STOP_LOW else "bare"
+    if density >= STOP_LOW:
+        return "neargood"
+    told = re.search(r"[.!?…。]['\"”’)\]]*$", text) and not re.search(r" [|·»•/] |©|\ball rights reserved\b", text, re.I) or re.match(r"\w[\w -]{0,30}[:—–]", text)
+    plain = 2 * sum(c.isascii() for c in text) > len(text)
+    return "bad" if kind == "paragraph" and plain and not told else "short"
 
 
 def inherit(blocks: list[tuple]) -> list[tuple]:
-    """Second pass: undecided blocks take the label of the nearest decided ones; good if they differ or there is none."""
-    decided = [i for i, b in enumerate(blocks) if b[3] in ("good", "bad")]
+    """Second pass: short blocks are bad if the nearest decided ones are (the only one at either end of a text; of a
+    heading, the one that follows), nearly good ones if both are, and all others good."""
+    labels = [b[3] for b in blocks]
+    if not any(b[3] in ("good", "neargood") and b[0] != "code" for b in blocks):
+        return [(*b[:3], "good") for b in blocks]
     out = []
     for i, b in enumerate(blocks):
-        label = b[3]
-        if label not in ("good", "bad"):
-            near = {blocks[j][3] for j in (max((j for j in decided if j < i), default=None), min((j for j in decided if j > i), default=None)) if j is not None}
-            label = "bad" if near == {"bad"} and label == "short" and b[0] != "heading" else "good"
+        label = labels[i]
+        if label in ("short", "neargood"):
+            firm = ("good", "bad") if label == "neargood" else ("good", "neargood", "bad")
+            near = [next((x for x in side if x in firm), "") for side in (reversed(labels[:i]), labels[i + 1 :])]
+            wrong = near == ["bad", "bad"] or label == "short" and "bad" in near and "" in near or b[0] == "heading" and near[1] == "bad"
+            label = "bad" if wrong else "good"
         out.append((*b[:3], label))
     return out
 
 
+#: What any of the four languages needs: a text without it has no syntax.
+SIGNED = re.compile("[&<>{}\\\\\\[\\]*_~`$#=•\x01-\x06\n\r" + chr(0x2028) + chr(0x2029) + "]")
+MARKED_LINE = re.compile(r"[ \t]{0,6}[-+]")
+NUMBERED = re.compile(r"\s{0,3}\d{1,3}[.)]\s+\S")
+
+
+STOPS = (" ,", " .", " ;", " :", " !", " ?")
+
+
+def _line(text: str) -> str:
+    """One line as it is shown: single blanks, none before a stop."""
+    if "  " in text or "\t" in text:
+        text = re.sub(r"[ \t]+", " ", text)
+    text = text.strip()
+    return re.sub(r" (?=[,.;:!?](?:\s|$))", "", text) if any(x in text for x in STOPS) else text
+
+
 def clean(text: str) -> tuple[str, list[tuple[str, int, str, str]], frozenset[str]]:
     """Clean text, its blocks, and the kinds of syntax that were in it."""
-    c = Cleaner(normalize(text)[0])
+    text = normalize(text)[0]
+    if not SIGNED.search(text) and "''" not in text and not MARKED_LINE.match(text):  # one line of prose
+        line = _line(text)
+        return line, [("list" if NUMBERED.match(text) else "paragraph", 0, line, "good")] if line else [], frozenset()
+    c = Cleaner(text)
     c.run()
     blocks = c.blocks()
     shown = {"heading": lambda n, t: f"{'#' * max(n, 1)} {t}", "list": lambda n, t: f"- {t}" if n else t, "code": lambda n, t: f"```\n{t}\n```"}
