@@ -136,15 +136,30 @@ def distance(a: str, b: str, most: int = 2) -> int:
     return min(last[-1], most + 1)
 
 
+@lru_cache(maxsize=500_000)
 def alike(a: str, b: str) -> float:
     """Similarity of two words: 1 if they are one but for digraphs, less for each edit, 0 beyond what typing explains."""
     if a == b:
         return 1.0
     if canon(a) == canon(b):
         return 0.99
-    d = min(distance(a, b), distance(canon(a), canon(b)))
-    most = 1 if min(len(a), len(b)) < 10 else 2
-    return 1 - d / max(len(a), len(b)) if d <= most and min(len(a), len(b)) >= 4 else 0.0
+    short, long = sorted((len(a), len(b)))
+    most = 1 if short < 10 else 2
+    if short < 4 or min(abs(len(a) - len(b)), abs(len(canon(a)) - len(canon(b)))) > most:
+        return 0.0
+    d = min(distance(a, b, most), distance(canon(a), canon(b), most))
+    return 1 - d / long if d <= most else 0.0
+
+
+@lru_cache(maxsize=200_000)
+def variants(token: str) -> frozenset[str]:
+    """What two words that are ``alike`` have one of in common: of short words, the word less a letter; of long ones, in
+    which there may be two errors, the same of either end, one of which has one error at most."""
+    out = set()
+    for f in {token, canon(token)}:
+        parts = [("", f)] if len(token) < 9 else [("", f), ("<", f[:5]), (">", f[-5:])]
+        out |= {m + x for m, p in parts for x in (p, *(p[:k] + p[k + 1 :] for k in range(len(p))))}
+    return frozenset(out)
 
 
 def readings(name: str) -> list[dict]:
