@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from litweave.functions.udfs import html_unescape, nfkd_fold
+from litweave.functions.udfs import html_unescape, html_unescape_all, nfkd_fold
 
 #: LaTeX escapes and what they stand for.
 ESCAPES = {
@@ -57,6 +57,11 @@ def clean_text(c: Column) -> Column:
     return squeeze(F.regexp_replace(html_unescape(c), r"<[^>]+>", ""))
 
 
+def clean_texts(c: Column) -> Column:
+    """``clean_text`` of every element of a list."""
+    return F.transform(html_unescape_all(c), lambda x: squeeze(F.regexp_replace(x, r"<[^>]+>", "")))
+
+
 def norm_title(c: Column) -> Column:
     """Lower-case ASCII words without LaTeX, markup, accents and inline formulas."""
     c = F.lower(nfkd_fold(clean_text(clean_latex(c))))
@@ -86,7 +91,8 @@ def norm_doi(c: Column, fold: bool = True) -> Column:
 
 
 def surname(c: Column) -> Column:
-    """What stands before the comma, else the last word; folded, letters only."""
+    """What stands before the comma, else the last word; of the clean text, folded, letters only."""
+    c = clean_text(clean_latex(c))
     last = F.when(c.contains(","), F.substring_index(c, ",", 1)).otherwise(F.element_at(F.split(F.trim(c), r"(?U)\s+"), -1))
     return F.regexp_replace(F.lower(nfkd_fold(last)), r"[^a-z]", "")
 

@@ -26,6 +26,12 @@ def html_unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if "&" in x else x, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def html_unescape_all(s: pd.Series) -> pd.Series:
+    """The same for every element of a list."""
+    return s.map(lambda xs: None if xs is None else [x if x is None or "&" not in x else html.unescape(x) for x in xs])
+
+
 @F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks similarity of two strings, the first one being the pattern: not symmetric. NULL if either is."""

@@ -77,6 +77,19 @@ def gate(ratings: DataFrame, a: str, b: str, least: float = 0.8) -> DataFrame:
     return k.withColumn("verdict", F.when(F.isnan("kappa"), "not computable").when(F.col("kappa") >= least, "PASS").otherwise("REDO"))
 
 
+def gate_of(ratings: DataFrame, least: float = 0.8) -> DataFrame:
+    """(measure, value, verdict) of all raters, on the binary labels of the units all of them rated: Cohen's kappa of two
+    raters, Krippendorff's alpha of three or more. A row per rater comes to the driver."""
+    raters = [r[0] for r in ratings.select("rater").where("rater IS NOT NULL").distinct().orderBy("rater").collect()]
+    if len(raters) < 2:
+        raise ValueError("agreement takes two raters at least")
+    if len(raters) == 2:
+        g = gate(ratings, *raters, least)
+        return g.select(F.lit("kappa").alias("measure"), F.col("kappa").alias("value"), "verdict")
+    a = krippendorff(binary(common(ratings, len(raters)))).select(F.lit("alpha").alias("measure"), F.col("alpha").alias("value"))
+    return a.withColumn("verdict", F.when(F.col("value").isNull(), "not computable").when(F.col("value") >= least, "PASS").otherwise("REDO"))
+
+
 def to_reconcile(ratings: DataFrame) -> DataFrame:
     """(unit, labels): units with different labels or any maybe."""
     u = ratings.groupBy("unit").agg(F.array_sort(F.collect_set("label")).alias("labels"))

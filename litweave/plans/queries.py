@@ -9,6 +9,7 @@ from litweave.operators import agreement, checks, counts, golden, linkage, recon
 from litweave.session import cut, table
 from litweave.sinks import ris as ris_sink
 from litweave.sinks import tables
+from litweave.sources import bibtex
 
 SEED = 20260928
 QUERIES: dict = {}
@@ -24,8 +25,10 @@ def _corpus(spark, d):
 
 
 def _records(spark, d):
-    """Source records, each once."""
-    return table(spark, d, "source_records").dropDuplicates(["idx"])
+    """Source records, each as it arrived last."""
+    r = table(spark, d, "source_records").where("idx IS NOT NULL")
+    rest = [c for c in r.columns if c != "idx"]
+    return r.groupBy("idx").agg(F.max_by(F.struct(*rest), F.struct("ingested_at", "exported_at")).alias("s")).select("idx", "s.*")
 
 
 def _catalogue(spark, d):
@@ -34,9 +37,15 @@ def _catalogue(spark, d):
     return c.groupBy("source_record_id").agg(F.max(F.struct("updated_at", "status", "corpus_id", "source_db", "source_file", "type", "cluster_size")).alias("s")).select("source_record_id", "s.*")
 
 
+def _decisions(spark, d):
+    """Votes, each as it was received last."""
+    v = table(spark, d, "screen_decisions").where("decision_id IS NOT NULL")
+    return reconcile.latest(v, ("decision_id",), "received_at", "decided_at")
+
+
 def _votes(spark, d):
     """Votes with a known label, each decision once, the last of each record and reviewer."""
-    v = table(spark, d, "screen_decisions").dropDuplicates(["decision_id"]).withColumn("decision", X.label(F.col("decision"))).where("decision IS NOT NULL AND corpus_id IS NOT NULL AND reviewer IS NOT NULL")
+    v = _decisions(spark, d).withColumn("decision", X.label(F.col("decision"))).where("decision IS NOT NULL AND corpus_id IS NOT NULL AND reviewer IS NOT NULL")
     return reconcile.latest(v)
 
 
@@ -278,7 +287,7 @@ def unknown_ids(spark, d):
 
 @query
 def label_counts(spark, d):
-    v = table(spark, d, "screen_decisions").dropDuplicates(["decision_id"])
+    v = _decisions(spark, d)
     return counts.count_by(v.select(F.coalesce(X.label(F.col("decision")), F.lit("none")).alias("label")), "label")
 
 
@@ -437,15 +446,33 @@ def strat_split_run_on(spark, d):
 
 @query
 def split_violations(spark, d):
-    """Empty if a split lost, made up and repeated nothing."""
-    return checks.partition_of(strat_split(spark, d), table(spark, d, "final_corpus"), "cid")
+    """What is wrong with a split from which every seventh record was taken, in which every eleventh was dealt twice, and
+    to which numbers of no record were added."""
+    parts = strat_split(spark, d).select("cid")
+    made = parts.where("cid % 7 <> 0").union(parts.where("cid % 11 = 0")).union(parts.where("cid % 13 = 0").select(-F.col("cid")))
+    return checks.partition_of(made, table(spark, d, "final_corpus"), "cid")
 
 
 @query
 def bib_projection(spark, d):
+    """The entries' table as parsed entries, projected as those of a file are."""
     b = table(spark, d, "bib_entries")
-    p = F.split(F.regexp_replace("pages", "[–—]", "-"), "-+")
-    return b.select("bibkey", X.first_of(F.col("booktitle"), F.col("journal")).alias("venue"), X.year_of(F.col("year")).alias("year"), F.trim(F.get(p, F.lit(0))).alias("start_page"), F.size(F.split("author", " and ")).alias("n_authors"))
+    names = ("title", "author", "year", "doi", "booktitle", "journal", "pages", "publisher", "keywords")
+    raw = b.select(F.lit("-").alias("file"), F.lit(0).alias("rec"), F.lower("etype").alias("etype"), "bibkey", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names)).alias("fields"))
+    p = bibtex.project(raw)
+    return p.select(F.substring(F.get("notes", F.lit(0)), 13, 1000).alias("bibkey"), "type", "year", "start_page", "end_page", F.size("authors").alias("n_authors"), F.size("keywords").alias("n_keywords"))
+
+
+@query
+def retrieval_counts(spark, d):
+    return counts.retrieval(preset_status(spark, d))
+
+
+@query
+def labelled_exclusions(spark, d):
+    """Exclusion codes with their labels; the labels are a parameter table."""
+    labels = spark.createDataFrame([(f"E{i}", t) for i, t in enumerate(("too short", "not in scope", "no system", "no people", "not in English"), 1)], "code string, label string")
+    return counts.labelled(exclusion_codes(spark, d), labels)
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from html import escape
 
 from pyspark.sql import DataFrame
@@ -55,11 +56,45 @@ def svg_flow(stages: list[tuple[str, str | None]], wide: int = 260, high: int =
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{2 * wide + 70}" height="{y}"><defs><marker id="a" markerWidth="8" markerHeight="8" refX="7" refY="3" orient="auto"><path d="M0 0L7 3L0 6z"/></marker></defs>{"".join(parts)}</svg>'
 
 
+def _section(title: str, df: DataFrame | None) -> list[str]:
+    return [] if df is None else [f"## {title}", "", frame_table(df), ""]
+
+
+def screening_report(date: str, screened: int, included: int, by_reviewer: DataFrame, reasons: DataFrame | None = None, types: DataFrame | None = None, years: DataFrame | None = None, sources: DataFrame | None = None) -> str:
+    """The report on title and abstract screening, from counts: what was read, by whom, why records left, what stays."""
+    head = [f"# Screening report ({date})", "", f"- Records screened: **{screened:,}**", f"- Records excluded: **{screened - included:,}**", f"- Reports sought for retrieval: **{included:,}**", ""]
+    return "\n".join(head + _section("Files read", sources) + _section("By reviewer", by_reviewer) + _section("Reasons", reasons) + _section("Included, by type", types) + _section("Included, by year", years))
+
+
+def fulltext_report(date: str, flow: dict[str, int], reasons: DataFrame, by_screener: DataFrame | None = None) -> str:
+    """The report on full texts, from one row of ``reconcile.flow`` and the reasons in the order of the checks."""
+    left = flow.get("undecided", 0)
+    head = [f"# Full-text report ({date})", "", f"Status: {'complete' if not left else f'interim, {left:,} undecided'}", ""]
+    head += [f"- {name}: **{flow[k]:,}**" for k, name in (("sought", "Reports sought"), ("not_retrieved", "Not retrieved"), ("assessed", "Assessed"), ("excluded", "Excluded"), ("included", "Studies included"))]
+    return "\n".join([*head, "", *_section("Reasons of exclusion", reasons), *_section("By screener", by_screener)])
+
+
+def merge_report(date: str, reviewed: int, merges: DataFrame) -> str:
+    """The report on duplicates judged by hand: (kept, dropped, why) of those merged, and the ids not used again."""
+    n = merges.count()
+    gone = ", ".join(f"`C{r[0]:04d}`" for r in merges.select("absorbed").distinct().orderBy("absorbed").collect())
+    head = [f"# Duplicates judged by hand ({date})", "", f"- Pairs reviewed: **{reviewed:,}**", f"- Pairs merged: **{n:,}**", f"- Pairs kept apart: **{reviewed - n:,}**", ""]
+    return "\n".join([*head, *_section("Merged", merges), f"Identifiers not used again: {gone or 'none'}."])
+
+
+def corpus_report(date: str, records: int, unique: int, **sections: DataFrame) -> str:
+    """The report on the corpus: how many records came in and stayed, and any counts (by database, year, type, ...)."""
+    head = [f"# Corpus report ({date})", "", f"- Records identified: **{records:,}**", f"- Duplicates removed: **{records - unique:,}**", f"- Unique records: **{unique:,}**", ""]
+    return "\n".join(head + [line for name, df in sections.items() for line in _section(name.replace("_", " ").capitalize(), df)])
+
+
 class Tee:
-    """Writes a report to the screen, lists cut after ``most`` lines, and whole to a file."""
+    """Writes a report to the screen, lists cut after ``most`` lines, and whole to a file. ``{at}`` in its path is the time
+    of the run."""
 
     def __init__(self, path: str, most: int = 40):
-        self.file, self.most = open(path, "w", encoding="utf-8"), most
+        self.path = path.replace("{at}", time.strftime("%Y%m%d_%H%M%S"))
+        self.file, self.most = open(self.path, "w", encoding="utf-8"), most
 
     def write(self, lines: list[str]) -> None:
         self.file.write("\n".join(lines) + "\n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litweave.sinks.tables import guard
+
 #: Tags and columns of the variants, in their order; a star marks repeated tags.
 FULL = (("TY", "type"), ("AU*", "authors"), ("TI", "title"), ("PY", "year"), ("T2", "venue"), ("VL", "volume"), ("IS", "issue"), ("SP", "start_page"), ("EP", "end_page"), ("PB", "publisher"), ("DO", "doi"), ("UR", "url"), ("SN", "issn"), ("AB", "abstract"), ("KW*", "keywords"), ("DB", "source_db"), ("ID", "id"), ("N1*", "notes"))
 PLAIN = tuple(x for x in FULL if x[0] not in ("SN", "N1*"))
@@ -30,6 +32,7 @@ def ris_text(df: DataFrame, tags: tuple[tuple[str, str], ...] = FULL, extra_note
     return F.concat(F.array_join(F.concat(*lines), "\n"), F.lit("\nER  - \n"))
 
 
-def write_ris(df: DataFrame, path: str, tags: tuple[tuple[str, str], ...] = FULL, order: str | None = None, extra_notes: Column | None = None) -> None:
+def write_ris(df: DataFrame, path: str, tags: tuple[tuple[str, str], ...] = FULL, order: str | None = None, extra_notes: Column | None = None, force: bool = False) -> None:
+    guard(df, path, force)
     out = df.orderBy(order) if order else df
     out.select(ris_text(out, tags, extra_notes).alias("value")).write.mode("overwrite").text(path)

@@ -17,13 +17,23 @@ def catalogue(rows: DataFrame) -> DataFrame:
     return r.select(*(c if c == "cluster_size" else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CATALOGUE))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def guard(df: DataFrame, path: str, force: bool) -> None:
+    """Raises where there is something at the path already, unless ``force``: it may hold somebody's work."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not force and p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        raise FileExistsError(f"{path} exists; pass force=True to overwrite it")
+
+
+def write_csv(df: DataFrame, path: str, force: bool = False) -> None:
+    guard(df, path, force)
     flat = df.select(*(F.array_join(c, "; ").alias(c) if k.startswith("array<string") else F.col(c) for c, k in df.dtypes))
     flat.write.mode("overwrite").csv(path, header=True, escape='"', quote='"', emptyValue="")
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, force: bool = False) -> None:
     """One JSON object per line; lists stay lists."""
+    guard(df, path, force)
     df.write.mode("overwrite").json(path)
 
 

@@ -24,12 +24,29 @@ def _closing(s: str, at: int) -> int:
     return len(s)
 
 
+def _next_field(s: str, at: int) -> int:
+    """The place after the next comma outside braces and quotes; the end of the text if there is none."""
+    depth, quoted = 0, False
+    for i in range(at, len(s)):
+        if s[i] == '"' and not depth:
+            quoted = not quoted
+        elif not quoted:
+            depth += (s[i] == "{") - (s[i] == "}")
+            if s[i] == "," and depth <= 0:
+                return i + 1
+    return len(s)
+
+
 def fields(body: str) -> dict[str, str]:
-    """name = {nested}, "quoted" or bare values; names in lower case, the last of a name counts."""
+    """name = {nested}, "quoted" or bare values; names in lower case, the last of a name counts. Of values joined by
+    ``#`` the first one counts; a name may hold any sign but ``=`` and a comma."""
     out: dict[str, str] = {}
     at = 0
-    while m := re.compile(r"\s*,?\s*([\w-]+)\s*=\s*").match(body, at):
-        at = m.end()
+    while (eq := body.find("=", at)) >= 0:
+        name = body[at:eq].rpartition(",")[2].strip().lower()
+        at = eq + 1
+        while at < len(body) and body[at].isspace():
+            at += 1
         if body[at : at + 1] == "{":
             end = _closing(body, at)
             value, at = body[at + 1 : end], end + 1
@@ -41,7 +58,9 @@ def fields(body: str) -> dict[str, str]:
             end = body.find(",", at)
             end = len(body) if end < 0 else end
             value, at = body[at:end], end
-        out[m[1].lower()] = " ".join(value.split())
+        if name:
+            out[name] = " ".join(value.split())
+        at = _next_field(body, at)
     return out
 
 
@@ -70,16 +89,20 @@ def read_bibtex(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def project(raw: DataFrame) -> DataFrame:
-    """Source records of parsed entries, without ``idx`` and ``source_db``."""
+    """Source records of parsed entries, without ``idx`` and ``source_db``; texts without LaTeX, character references and
+    tags. A single page has no last one; the key and the series are notes."""
     f = lambda *names: X.first_of(*(F.col("fields")[n] for n in names))
-    pages = F.split(F.regexp_replace(f("pages"), "[\u2013\u2014]", "-"), "-+")
+    plain = lambda *names: X.clean_text(f(*names))
+    clean = lambda *names: X.clean_text(X.clean_latex(f(*names)))
+    pages = F.split(F.regexp_replace(plain("pages"), "[\u2013\u2014]", "-"), "-+")
     empty = F.array().cast("array<string>")
     some = lambda c: F.coalesce(F.filter(c, lambda x: x != ""), empty)
+    listed = lambda name, by: some(X.clean_texts(F.transform(F.split(f(name), by), X.clean_latex)))
     doi = f("doi", "url")
     return raw.select(
-        "file", "rec", X.lookup(F.col("etype"), TYPES, F.lit("GEN")).alias("type"), X.clean_latex(f("title")).alias("title"), some(F.transform(F.split(f("author"), r"\s+and\s+"), X.clean_latex)).alias("authors"),
-        F.coalesce(X.year_of(f("year")), X.year_of(f("issue_date"))).alias("year"), X.norm_doi(doi).alias("doi"), X.norm_doi(doi, False).alias("doi_raw"), X.clean_latex(f("booktitle", "journal", "series")).alias("venue"),
-        f("volume").alias("volume"), f("number", "issue").alias("issue"), F.trim(F.get(pages, F.lit(0))).alias("start_page"), F.trim(F.try_element_at(pages, F.lit(-1))).alias("end_page"), f("publisher").alias("publisher"),
-        X.clean_latex(f("abstract")).alias("abstract"), some(F.split(f("keywords"), r"[;,]\s*")).alias("keywords"), f("url").alias("url"), f("issn").alias("issn"), f("isbn").alias("isbn"),
-        some(F.array(f("note"))).alias("notes"), F.lit(None).cast("string").alias("db"),
+        "file", "rec", X.lookup(F.col("etype"), TYPES, F.lit("GEN")).alias("type"), clean("title").alias("title"), listed("author", r"\s+and\s+").alias("authors"),
+        F.coalesce(X.year_of(f("year")), X.year_of(f("issue_date"))).alias("year"), X.norm_doi(doi).alias("doi"), X.norm_doi(doi, False).alias("doi_raw"), clean("booktitle", "journal", "series").alias("venue"),
+        plain("volume").alias("volume"), plain("number").alias("issue"), F.trim(F.get(pages, F.lit(0))).alias("start_page"), F.when(F.size(pages) > 1, F.trim(F.try_element_at(pages, F.lit(-1)))).alias("end_page"), clean("publisher").alias("publisher"),
+        clean("abstract").alias("abstract"), listed("keywords", r"[;,]\s*").alias("keywords"), plain("url").alias("url"), plain("issn").alias("issn"), plain("isbn").alias("isbn"),
+        some(F.array(F.concat(F.lit("BibTeX key: "), "bibkey"), F.concat(F.lit("series: "), clean("series")))).alias("notes"), F.lit(None).cast("string").alias("db"),
     )

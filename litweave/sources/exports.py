@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from litweave.functions import text as X
 from litweave.sources import bibtex, ris
 
 DECISIONS = "kind string, reviewer_id string, decisions array<struct<corpus_id:string,decision:string,codes:array<string>,title:string,reason:string>>, reviewers array<string>, records array<struct<corpus_id:string,title:string,votes:map<string,string>,final:string,reason:string>>, agreed array<struct<corpus_id:string,final:string>>"
@@ -64,10 +65,29 @@ def read_decisions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_rater_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(rater, corpus_id, label): the columns ``reviewer_*`` of a rating sheet, unpivoted."""
+    """(rater, corpus_id, label): the columns ``reviewer_*`` of a rating sheet, unpivoted. Where the id of the record is
+    missing, the number of the item takes its place."""
     sheet = read_csv(spark, path)
     raters = [c for c in sheet.columns if c.startswith("reviewer_") and not c.endswith("_reason")]
-    return sheet.unpivot(["corpus_id"], raters, "rater", "label")
+    if len(raters) < 2:
+        raise ValueError(f"{path}: a sheet has two columns reviewer_* at least")
+    ids = F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in ("corpus_id", "item") if c in sheet.columns))
+    return sheet.withColumn("corpus_id", ids).unpivot(["corpus_id"], raters, "rater", "label")
+
+
+def read_rater_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(rater, corpus_id, label, codes, title) of raters' files: the last decision of each record that has a label, codes
+    in capitals, and the first title given for it. A file without a name of its rater is named by itself; a name that
+    more than one file gives has the file's added but for the first of them."""
+    f = spark.read.schema(DECISIONS).option("multiLine", True).json(paths).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    f = f.select("file", F.coalesce(F.nullif("reviewer_id", F.lit("")), "file").alias("name"), "decisions")
+    first = f.groupBy("name").agg(F.min("file").alias("first"))
+    f = f.join(first, "name").withColumn("rater", F.when(F.col("file") == F.col("first"), F.col("name")).otherwise(F.concat("name", F.lit(" ("), "file", F.lit(")"))))
+    d = f.select("file", "rater", F.posexplode("decisions").alias("at", "d")).select("file", "rater", "at", "d.*").withColumn("label", X.label(F.col("decision"))).where("label IS NOT NULL AND corpus_id <> ''")
+    title = d.where("title <> ''").groupBy("corpus_id").agg(F.min_by("title", F.struct("file", "at")).alias("title"))
+    codes = F.transform(F.coalesce("codes", F.array().cast("array<string>")), F.upper)
+    last = d.groupBy("rater", "corpus_id").agg(F.max_by("label", "at").alias("label"), F.max_by(codes, F.col("at")).alias("codes"))
+    return last.join(title, "corpus_id", "left").select("rater", "corpus_id", "label", "codes", "title")
 
 
 def discover(spark: SparkSession, path: str, pattern: str = "*.json", skip: tuple[str, ...] = ("agreement_%", "split_manifest.json", "fulltext_corpus.json")) -> DataFrame:

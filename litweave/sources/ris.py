@@ -37,11 +37,12 @@ def first(*tags: str) -> Column:
 
 
 def project(raw: DataFrame) -> DataFrame:
-    """Source records of parsed RIS records, without ``idx`` and ``source_db``."""
+    """Source records of parsed RIS records, without ``idx`` and ``source_db``; texts without character references and tags."""
     doi = first("DO", "DI")
+    clean = lambda *tags: X.clean_text(first(*tags))
     return raw.select(
-        "file", "rec", X.fix_type(first("TY")).alias("type"), first("TI", "T1").alias("title"), values("AU", "A1").alias("authors"), X.year_of(first("PY", "Y1", "DA")).alias("year"),
-        X.norm_doi(doi).alias("doi"), X.norm_doi(doi, False).alias("doi_raw"), first("T2", "JO", "JA", "T3").alias("venue"), first("VL", "VO").alias("volume"), first("IS").alias("issue"),
-        first("SP").alias("start_page"), first("EP").alias("end_page"), first("PB").alias("publisher"), first("AB", "N2").alias("abstract"), values("KW").alias("keywords"),
-        first("UR", "L2").alias("url"), first("SN").alias("issn"), F.when(first("TY") == "BOOK", first("SN")).alias("isbn"), values("N1").alias("notes"), first("DB").alias("db"),
+        "file", "rec", X.fix_type(first("TY")).alias("type"), clean("TI", "T1").alias("title"), X.clean_texts(values("AU", "A1")).alias("authors"), X.year_of(first("PY", "Y1", "DA")).alias("year"),
+        X.norm_doi(doi).alias("doi"), X.norm_doi(doi, False).alias("doi_raw"), clean("T2", "JO", "JA", "T3").alias("venue"), first("VL", "VO").alias("volume"), first("IS").alias("issue"),
+        first("SP").alias("start_page"), first("EP").alias("end_page"), clean("PB").alias("publisher"), clean("AB", "N2").alias("abstract"), X.clean_texts(values("KW")).alias("keywords"),
+        first("UR", "L2").alias("url"), first("SN").alias("issn"), F.when(first("TY") == "BOOK", first("SN")).alias("isbn"), X.clean_texts(values("N1")).alias("notes"), first("DB").alias("db"),
     )
