@@ -21,9 +21,15 @@ from pyspark.sql import types as T
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜЗаеорсухѕіјһԁԛԝѵүгӏ", "ABESIJKMHOPCTYXYGQW3aeopcyxsijhdqwvyrl"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳανογικρυχϲ", "ABEZHIKMNOPTYXCjavoyikpuxc"))
 ARMENIAN = dict(zip("ՍՕՏԼօսոհցզՁ", "UOSLounhgqQ"))
-TO_LATIN = {k: v for k, v in (CYRILLIC | GREEK | ARMENIAN).items() if v.isalpha()}
-BACK = {"CYRILLIC": {v: k for k, v in reversed(CYRILLIC.items()) if v.isalpha()}, "GREEK": {v: k for k, v in reversed(GREEK.items())}, "ARMENIAN": {v: k for k, v in reversed(ARMENIAN.items())}}
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZbWVSLCPKB"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+COPTIC = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲥⲣ", "HIKMNOPCTYXocp"))
+#: Latin letters of phonetics that look like plain ones; they are sounds beside others of their kind.
+PHONETIC = {"ɑ": "a", "ɡ": "g"}
+OTHERS = {"CYRILLIC": CYRILLIC, "GREEK": GREEK, "ARMENIAN": ARMENIAN, "CHEROKEE": CHEROKEE, "LISU": LISU, "COPTIC": COPTIC}
+TO_LATIN = {k: v for letters in OTHERS.values() for k, v in letters.items() if v.isalpha()}
+BACK = {script: {v: k for k, v in reversed(letters.items()) if v.isalpha()} for script, letters in OTHERS.items()}
+SCRIPTS = ("LATIN", *OTHERS)
 #: Scripts and signs in which joiners are spelling, not dirt.
 JOINING = regex.compile(r"[\p{Arabic}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Mongolian}\p{Extended_Pictographic}]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Bopomofo}]")
@@ -74,12 +80,16 @@ def _spell(c: str, script: str) -> str:
 
 
 def _letters(text: str, names: bool) -> tuple[str, bool]:
+    changed = False
+    if any(c in text for c in PHONETIC):
+        plain = WORD.sub(lambda w: w[0].translate(str.maketrans(PHONETIC)) if len(w[0]) > 1 and all(c.isascii() or c in PHONETIC for c in w[0]) and any(c.isascii() for c in w[0]) else w[0], text)
+        text, changed = plain, plain != text
     words = list(WORD.finditer(text))
     scripts = [{_script(c) for c in w[0]} - {""} for w in words]
     if all(s == {"LATIN"} for s in scripts):
-        return text, False
+        return text, changed
     latin = any(s == {"LATIN"} or "LATIN" in s for s in scripts)
-    out, at, changed = [], 0, False
+    out, at = [], 0
     fits = [frozenset.intersection(*map(_scripts, (c for c in w[0] if _script(c)))) if s else frozenset() for w, s in zip(words, scripts)]
     for i, (w, s, fit) in enumerate(zip(words, scripts, fits)):
         to = None
@@ -102,7 +112,7 @@ def normalize(text: str, names: bool = False) -> tuple[str, frozenset[str]]:
     if text.isascii() and (text.isprintable() or not any(_kind(c)[0] for c in text)):
         return text, frozenset()
     chars = set(text)
-    if not any(_kind(c)[0] for c in chars) and all(c.isascii() or _script(c) in ("", "LATIN") for c in chars) and unicodedata.is_normalized("NFC", text):
+    if not any(_kind(c)[0] for c in chars) and all(c.isascii() or _script(c) in ("", "LATIN") and c not in PHONETIC for c in chars) and unicodedata.is_normalized("NFC", text):
         return text, frozenset()
     kinds, out = set(), []
     for i, c in enumerate(text):
