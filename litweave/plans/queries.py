@@ -13,6 +13,8 @@ from litweave.sources import bibtex
 
 SEED = 20260928
 QUERIES: dict = {}
+#: What linking looks at.
+LINKED = ("title", "authors", "year", "doi")
 
 
 def query(f):
@@ -24,10 +26,10 @@ def _corpus(spark, d):
     return table(spark, d, "final_corpus").withColumn("corpus_id", X.record_id("C", 4, F.col("cid")))
 
 
-def _records(spark, d):
-    """Source records, each as it arrived last."""
+def _records(spark, d, *cols):
+    """Source records, each as it arrived last; of ``cols`` only, if any are named."""
     r = table(spark, d, "source_records").where("idx IS NOT NULL")
-    rest = [c for c in r.columns if c != "idx"]
+    rest = [c for c in r.columns if c != "idx" and (not cols or c in cols)]
     return r.groupBy("idx").agg(F.max_by(F.struct(*rest), F.struct("ingested_at", "exported_at")).alias("s")).select("idx", "s.*")
 
 
@@ -210,17 +212,17 @@ def near_title_candidates(spark, d):
 
 @query
 def record_clusters(spark, d):
-    return linkage.link(_records(spark, d))[0]
+    return linkage.link(_records(spark, d, *LINKED))[0]
 
 
 @query
 def link_counts(spark, d):
-    return counts.count_by(linkage.link(_records(spark, d))[1], "method")
+    return counts.count_by(linkage.link(_records(spark, d, *LINKED))[1], "method")
 
 
 @query
 def flagged_pairs(spark, d):
-    return linkage.link(_records(spark, d))[2]
+    return linkage.link(_records(spark, d, *LINKED))[2]
 
 
 def _clusters(spark, d):
