@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from litweave.operators import linkage
+from litweave.plans import queries
 
 DESC = "idx bigint, title string, authors array<string>, year string, doi string"
 
@@ -61,3 +62,16 @@ def test_no_candidates_and_no_unused_columns_go_to_disk(spark, monkeypatch):
     plan = linkage.similar_titles(titles)._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("SortMergeJoin")]
     assert "MapInPandas" in above and "Exchange" not in above and max(n for _, n in stored) <= 12 * 300
+
+
+def read_by(monkeypatch, spark, query):
+    """The columns that a query hands to linking."""
+    seen = []
+    link = linkage.link
+    monkeypatch.setattr(linkage, "link", lambda records, *a: seen.append(set(records.columns)) or link(records.limit(0), *a))
+    queries.QUERIES[query](spark, "/root/testdata/sf0.001")
+    return seen
+
+
+def test_link_counts_reads_what_linking_looks_at(spark, monkeypatch):
+    assert read_by(monkeypatch, spark, "link_counts") == [{"idx", "title", "authors", "year", "doi"}]
