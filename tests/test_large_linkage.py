@@ -75,3 +75,7 @@ def read_by(monkeypatch, spark, query):
 
 def test_link_counts_reads_what_linking_looks_at(spark, monkeypatch):
     assert read_by(monkeypatch, spark, "link_counts") == [{"idx", "title", "authors", "year", "doi"}]
+
+
+def test_record_clusters_reads_what_linking_looks_at(spark, monkeypatch):
+    assert read_by(monkeypatch, spark, "record_clusters") == [{"idx", "title", "authors", "year", "doi"}]
